@@ -65,7 +65,7 @@ def histogram_counts(spark, sf_dir):
     ),
 )
 def centre_lines(spark, sf_dir):
-    return rounded(D.centre_lines(jobs(spark, sf_dir, *S.NUMERIC_WITH_TARGET), S.NUMERIC_WITH_TARGET))
+    return rounded(D.centre_lines(jobs(spark, sf_dir, *S.NUMERIC_WITH_TARGET, heavy=True), S.NUMERIC_WITH_TARGET))
 
 
 @register(
@@ -83,7 +83,7 @@ def centre_lines(spark, sf_dir):
     ),
 )
 def kde(spark, sf_dir):
-    out = D.kde(jobs(spark, sf_dir, "risk"), "risk")
+    out = D.kde(jobs(spark, sf_dir, "risk", heavy=True), "risk")
     return out.select("point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
@@ -114,7 +114,7 @@ _SIDE_SQL = "CASE WHEN risk > 80 THEN 'High Risk' WHEN risk < 20 THEN 'Low Risk'
     ),
 )
 def kde_high_low(spark, sf_dir):
-    rows = _side(jobs(spark, sf_dir, "risk", *S.COMPARED))
+    rows = _side(jobs(spark, sf_dir, "risk", *S.COMPARED, heavy=True))
     out = D.kde_groups(rows, S.COMPARED, "side")
     return out.select(
         "side", "column", "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density")
@@ -148,7 +148,7 @@ def box_sql(long: str, keys: str) -> str:
 
 @register("d06_box_columns", over_jobs(box_sql(sql_long(S.NUMERIC), '"column"')))
 def box_columns(spark, sf_dir):
-    return rounded(D.box_stats(jobs(spark, sf_dir, *S.NUMERIC), S.NUMERIC))
+    return rounded(D.box_stats(jobs(spark, sf_dir, *S.NUMERIC, heavy=True), S.NUMERIC))
 
 
 @register(
@@ -163,7 +163,7 @@ def box_columns(spark, sf_dir):
     ),
 )
 def box_by_category(spark, sf_dir):
-    rows = jobs(spark, sf_dir, "risk", *S.CATEGORICAL)
+    rows = jobs(spark, sf_dir, "risk", *S.CATEGORICAL, heavy=True)
     return rounded(D.box_stats_by_category(rows, "risk", S.CATEGORICAL))
 
 

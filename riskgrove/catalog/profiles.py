@@ -89,7 +89,7 @@ def _describe_sql(cols: list[str], digits: int) -> str:
 @register("p05_describe_numeric", _describe_sql(S.NUMERIC_WITH_TARGET, 2))
 def describe_numeric(spark, sf_dir):
     return P.describe_numeric(
-        jobs(spark, sf_dir, *S.NUMERIC_WITH_TARGET), S.NUMERIC_WITH_TARGET, digits=2
+        jobs(spark, sf_dir, *S.NUMERIC_WITH_TARGET, heavy=True), S.NUMERIC_WITH_TARGET, digits=2
     )
 
 

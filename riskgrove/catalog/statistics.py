@@ -40,7 +40,7 @@ def _target_sql(source: str) -> str:
 
 
 def _numbers(spark, sf_dir):
-    return jobs(spark, sf_dir, *_ALL)
+    return jobs(spark, sf_dir, *_ALL, heavy=True)
 
 
 @register("s01_pearson_matrix", over_jobs(_pairs_sql("jobs", _ALL, False)))
@@ -113,7 +113,7 @@ _KRUSKAL = (
 
 @register("s06_kruskal_h", over_jobs(_KRUSKAL + f"SELECT dimension, groups, {r('h')} AS h FROM h"))
 def kruskal_h(spark, sf_dir):
-    rows = jobs(spark, sf_dir, "risk", *S.CATEGORICAL)
+    rows = jobs(spark, sf_dir, "risk", *S.CATEGORICAL, heavy=True)
     return rounded(T.kruskal(rows, "risk", S.CATEGORICAL))
 
 
@@ -132,7 +132,7 @@ def kruskal_h(spark, sf_dir):
     ),
 )
 def kruskal_test(spark, sf_dir):
-    rows = jobs(spark, sf_dir, "risk", *S.CATEGORICAL)
+    rows = jobs(spark, sf_dir, "risk", *S.CATEGORICAL, heavy=True)
     return rounded(T.kruskal_test(rows, "risk", S.CATEGORICAL))
 
 
@@ -232,5 +232,5 @@ def average_ranks(spark, sf_dir):
     ),
 )
 def average_ranks_by_column(spark, sf_dir):
-    long = O.long_form(jobs(spark, sf_dir, *S.NUMERIC), S.NUMERIC)
+    long = O.long_form(jobs(spark, sf_dir, *S.NUMERIC, heavy=True), S.NUMERIC)
     return O.average_ranks(long, "value", ["column"])

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskgrove.operators.common import level_table, one_row
 from riskgrove.operators.ranks import (
     attach_small,
+    counted_values,
     long_form,
+    named_quantiles,
     quantile_columns,
     running_counts,
 )
@@ -146,7 +148,8 @@ def box_stats(rows: DataFrame, cols: list[str], by: list[str] | None = None) ->
     """Quartiles, whiskers at the furthest points within 1.5 IQR, and the flier count."""
     by = by or []
     keys = [*by, "column"]
-    quartiles = quantile_columns(rows, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    counts = counted_values(rows, cols, by)
+    quartiles = named_quantiles(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     fenced = quartiles.withColumns(
         {
             "lower": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
@@ -156,13 +159,13 @@ def box_stats(rows: DataFrame, cols: list[str], by: list[str] | None = None) ->
     value = F.col("value")
     inside = (value >= F.col("lower")) & (value <= F.col("upper"))
     whiskers = (
-        attach_small(long_form(rows, cols, by), fenced, keys)
+        attach_small(counts, fenced, keys)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
-            F.count("*").alias("n"),
+            F.sum("ties").alias("n"),
             F.min(F.when(inside, value)).alias("low"),
             F.max(F.when(inside, value)).alias("high"),
-            F.count_if(~inside).alias("fliers"),
+            F.sum(F.when(inside, 0).otherwise(F.col("ties"))).alias("fliers"),
         )
     )
     return whiskers.select(

@@ -1,23 +1,19 @@
 """Order statistics and ranks without a sort in one task.
 
-Values are cut into cells by approximate quantiles that are fetched once and then fixed,
-so every later pass sees the same cells. A running total is the total of the cells
-before plus a running total inside the cell; both windows are small or well spread,
-whatever the distribution of the values and however large one group is.
+Values are counted first, so a value shared by many rows is one row from there on. They
+are then put into cells by a fixed, increasing function of the value. A running total is
+the total of the cells before plus a running total inside the cell: the table of cells is
+small, and the windows inside cells are spread over all tasks, however large one group is.
+The same counted values feed both, so Spark shuffles them once and reuses the result.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskgrove.session import cell_count
-
 SMALL_ROWS = 10_000
 CELL = "__cell"
-BOUNDS_SHARE = 0.02
+FINENESS = 32_768
 
 
 def small_side(small: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -39,35 +35,16 @@ def attach_small(
     return big.join(small_side(small, max_rows), on, how)
 
 
-def cell_bounds(
-    rows: DataFrame, cols: list[str], cells: int | None = None, share: float = BOUNDS_SHARE
-) -> list[float]:
-    """Strictly increasing inner cell bounds, from the values of all columns together.
+def value_cell(value: Column, fineness: int = FINENESS) -> Column:
+    """A whole number that never decreases as the value grows.
 
-    They steer balance, never the result, so a share of the rows is enough to find them.
+    Cells are even steps of the eighth root, so their width follows the size of the value.
+    Square roots are exactly rounded everywhere, so all tasks agree on a value's cell.
     """
-    cells = cells or cell_count(rows.sparkSession)
-    if share < 1:
-        rows = rows.select(*cols).sample(share, seed=7)
-    probs = [i / cells for i in range(1, cells)]
-    found = long_form(rows, cols).agg(
-        F.percentile_approx("value", probs, max(10_000, 2 * cells)).alias("b")
-    )
-    return sorted(set(found.first()["b"] or []))
-
-
-def add_cell(rows: DataFrame, value: str, bounds: list[float], out: str = CELL) -> DataFrame:
-    """The index of each value's cell; larger values never get a smaller index."""
-    if not bounds:
-        return rows.withColumn(out, F.lit(0.0))
-    if not all(math.isfinite(b) for b in bounds):
-        bounds = [b for b in bounds if math.isfinite(b)]
-    splits = [-math.inf, *bounds, math.inf]
-    typed = rows.withColumn("__value", F.col(value).cast("double"))
-    if len(splits) < 3:
-        return rows.withColumn(out, F.lit(0.0))
-    bucketizer = Bucketizer(splits=splits, inputCol="__value", outputCol=out)
-    return bucketizer.transform(typed).drop("__value")
+    x = value.cast("double")
+    root = F.sqrt(F.sqrt(F.sqrt(F.abs(x))))
+    step = F.floor(F.least(root, F.lit(1e12)) * fineness)
+    return F.when(x < 0, -step - 1).otherwise(step)
 
 
 def running_before(
@@ -79,13 +56,12 @@ def running_before(
     """
     keys = [*by, cell]
     totals = rows.groupBy(*keys).agg(*[F.sum(w).alias(f"__{n}") for n, w in weights.items()])
-    in_order = W.partitionBy(*(by or [F.lit(0)])).orderBy(cell)
-    earlier = in_order.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*(by or [F.lit(0)]))
+    group = W.partitionBy(*(by or [F.lit(0)]))
+    earlier = group.orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
         *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}_offset") for n in weights],
-        *[F.sum(f"__{n}").over(whole).alias(f"{n}_all") for n in weights],
+        *[F.sum(f"__{n}").over(group).alias(f"{n}_all") for n in weights],
     )
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = rows.select(
@@ -100,11 +76,10 @@ def running_before(
 
 
 def running_counts(
-    counts: DataFrame, by: list[str], value: str, weights: dict[str, str], cells: int | None = None
+    counts: DataFrame, by: list[str], value: str, weights: dict[str, str], fineness: int = FINENESS
 ) -> DataFrame:
     """Running totals along a numeric value; one input row per group and value."""
-    bounds = cell_bounds(counts, [value], cells)
-    placed = add_cell(counts, value, bounds)
+    placed = counts.withColumn(CELL, value_cell(F.col(value), fineness))
     return running_before(
         placed, by, CELL, [F.col(value)], {n: F.col(c) for n, c in weights.items()}
     )
@@ -137,65 +112,64 @@ def long_form(rows: DataFrame, cols: list[str], by: list[str] | None = None) ->
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def exact_quantiles(
-    rows: DataFrame,
-    cols: list[str],
-    probs: list[float],
-    by: list[str] | None = None,
-    cells: int | None = None,
+def counted_values(rows: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """(group columns, column, value, ties): one row per distinct value of each column."""
+    by = by or []
+    return (
+        long_form(rows, cols, by)
+        .groupBy(*by, "column", "value")
+        .agg(F.count("*").alias("ties"))
+    )
+
+
+def quantiles_of_counts(
+    counts: DataFrame, keys: list[str], probs: list[float], fineness: int = FINENESS
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles: (group columns, column, p, q).
+    """Exact linearly interpolated quantiles of counted values: (keys, p, q).
 
-    Counting the cells tells which cells hold the wanted ranks; only the rows of those
-    few cells are grouped by value and ordered.
+    Cell totals tell which cells hold the wanted ranks; only values of those few cells
+    are put in order.
     """
-    by = by or []
-    keys = [*by, "column"]
-    long = long_form(rows, cols, by)
-    placed = add_cell(long, "value", cell_bounds(rows, cols, cells))
-    counts = placed.groupBy(*keys, CELL).agg(F.count("*").alias("n"))
+    placed = counts.withColumn(CELL, value_cell(F.col("value"), fineness))
     group = W.partitionBy(*keys)
-    located = counts.select(
-        *keys,
-        CELL,
-        "n",
-        F.sum("n").over(group.orderBy(CELL).rowsBetween(W.unboundedPreceding, 0)).alias("upto"),
-        F.sum("n").over(group).alias("total"),
+    cells = (
+        placed.groupBy(*keys, CELL)
+        .agg(F.sum("ties").alias("n"))
+        .select(
+            *keys,
+            CELL,
+            "n",
+            F.sum("n").over(group.orderBy(CELL).rowsBetween(W.unboundedPreceding, 0)).alias("upto"),
+            F.sum("n").over(group).alias("total"),
+        )
     )
     # Exploding in the same select would multiply the rows below the window.
     asked = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     located = (
-        located.withColumn("p", asked)
+        cells.withColumn("p", asked)
         .withColumn("at", (F.col("total") - 1) * F.col("p"))
         .withColumn("lo", F.floor("at"))
         .withColumn("hi", F.least(F.col("lo") + 1, F.col("total") - 1))
         .withColumn("start", F.col("upto") - F.col("n"))
     )
     holds = lambda r: (F.col("start") <= F.col(r)) & (F.col(r) < F.col("upto"))
-    wanted = located.where(holds("lo") | holds("hi")).select(
-        *keys, CELL, "p", "at", "lo", "hi", "start"
-    )
-    probes = wanted.groupBy(*keys, CELL).agg(
-        F.collect_list(F.struct("p", "at", "lo", "hi", "start")).alias("probes")
-    )
-    probes = small_side(probes)
-    values = (
-        placed.join(probes, [*keys, CELL], "left_semi")
-        .groupBy(*keys, CELL, "value")
-        .agg(F.count("*").alias("ties"))
+    wanted = (
+        located.where(holds("lo") | holds("hi"))
+        .groupBy(*keys, CELL)
+        .agg(F.collect_list(F.struct("p", "at", "lo", "hi", "start")).alias("probes"))
     )
     upto = F.sum("ties").over(
         W.partitionBy(*keys, CELL).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     )
-    spread = (
-        values.withColumn("upto", upto)
-        .join(probes, [*keys, CELL])
+    ordered = (
+        placed.join(wanted, [*keys, CELL])
+        .select(*keys, "value", "ties", "probes", upto.alias("upto"))
         .select(*keys, "value", "ties", "upto", F.inline("probes"))
     )
     last = F.col("start") + F.col("upto")
     first = last - F.col("ties")
     hit = lambda r: F.when((first <= F.col(r)) & (F.col(r) < last), F.col("value"))
-    picked = spread.groupBy(*keys, "p").agg(
+    picked = ordered.groupBy(*keys, "p").agg(
         F.max(hit("lo")).alias("below"),
         F.max(hit("hi")).alias("above"),
         F.max(F.col("at") - F.col("lo")).alias("part"),
@@ -205,12 +179,25 @@ def exact_quantiles(
     )
 
 
+def exact_quantiles(
+    rows: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None
+) -> DataFrame:
+    """Exact linearly interpolated quantiles: (group columns, column, p, q)."""
+    by = by or []
+    return quantiles_of_counts(counted_values(rows, cols, by), [*by, "column"], probs)
+
+
+def named_quantiles(counts: DataFrame, keys: list[str], named: dict[str, float]) -> DataFrame:
+    """Quantiles of counted values as columns, one row per group."""
+    long = quantiles_of_counts(counts, keys, sorted(set(named.values())))
+    return long.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for name, p in named.items()]
+    )
+
+
 def quantile_columns(
     rows: DataFrame, cols: list[str], named: dict[str, float], by: list[str] | None = None
 ) -> DataFrame:
     """Quantiles as columns, one row per group and column."""
     by = by or []
-    long = exact_quantiles(rows, cols, sorted(set(named.values())), by)
-    return long.groupBy(*by, "column").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for name, p in named.items()]
-    )
+    return named_quantiles(counted_values(rows, cols, by), [*by, "column"], named)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgrove.operators.common import as_rows
-from riskgrove.operators.ranks import attach_small, long_form, quantile_columns
+from riskgrove.operators.ranks import attach_small, counted_values, named_quantiles
 
 
 def extremes(rows: DataFrame, column: str, high: float = 80, low: float = 20) -> DataFrame:
@@ -25,7 +25,8 @@ def extremes(rows: DataFrame, column: str, high: float = 80, low: float = 20) ->
 
 def iqr_outliers(rows: DataFrame, cols: list[str]) -> DataFrame:
     """Bounds at 1.5 IQR beyond the quartiles, and how many values lie outside."""
-    quartiles = quantile_columns(rows, cols, {"q1": 0.25, "q3": 0.75})
+    counts = counted_values(rows, cols)
+    quartiles = named_quantiles(counts, ["column"], {"q1": 0.25, "q3": 0.75})
     bounds = quartiles.select(
         "column",
         (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"),
@@ -33,12 +34,13 @@ def iqr_outliers(rows: DataFrame, cols: list[str]) -> DataFrame:
     )
     value = F.col("value")
     outside = (value < F.col("lower")) | (value > F.col("upper"))
+    beyond = F.sum(F.when(outside, F.col("ties")).otherwise(0))
     return (
-        attach_small(long_form(rows, cols), bounds, ["column"])
+        attach_small(counts, bounds, ["column"])
         .groupBy("column", "lower", "upper")
         .agg(
-            F.count_if(outside).alias("n_outliers"),
-            F.bround(F.count_if(outside) * 100.0 / F.count("*"), 2).alias("pct"),
+            beyond.alias("n_outliers"),
+            F.bround(beyond * 100.0 / F.sum("ties"), 2).alias("pct"),
         )
     )
 

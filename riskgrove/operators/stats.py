@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgrove.functions.columns import stars
 from riskgrove.functions.tails import chi2_upper, normal_two_sided
-from riskgrove.operators.common import as_rows, one_row
+from riskgrove.operators.common import one_row
 from riskgrove.operators.ranks import (
     SMALL_ROWS,
     average_ranks,
@@ -27,17 +27,23 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def pearson_matrix(rows: DataFrame, cols: list[str], lower: bool = False) -> DataFrame:
-    """(a, b, r) for all ordered pairs, or the strict lower triangle; one pass."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
-    wide = rows.agg(*[pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
-    records = []
-    for a, b in pairs:
-        r = F.col(f"`{a}|{b}`")
-        if a != b:
-            records.append({"a": F.lit(a), "b": F.lit(b), "r": r})
-        if not lower:
-            records.append({"a": F.lit(b), "b": F.lit(a), "r": r})
-    return as_rows(wide, records)
+    """(a, b, r) for all ordered pairs, or the strict lower triangle.
+
+    Rows are laid out per pair and aggregated by pair in the same pass: one small
+    aggregate instead of one per pair, and nulls are left out pair by pair.
+    """
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i if lower else i + 1]]
+    number = lambda c: F.col(c).cast("double")
+    record = lambda a, b: F.struct(
+        F.lit(a).alias("a"), F.lit(b).alias("b"), number(a).alias("x"), number(b).alias("y")
+    )
+    long = rows.select(F.inline(F.array(*[record(a, b) for a, b in pairs])))
+    found = long.groupBy("a", "b").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    if lower:
+        return found
+    mirrored = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = F.when(F.col("a") == F.col("b"), F.slice(mirrored, 1, 1)).otherwise(mirrored)
+    return found.select("r", F.inline(both)).select("a", "b", "r")
 
 
 def with_ranks(rows: DataFrame, cols: list[str]) -> DataFrame:

@@ -48,7 +48,3 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def cell_count(spark: SparkSession) -> int:
-    """How many value cells to cut a sorted column into: a few per shuffle task."""
-    return max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

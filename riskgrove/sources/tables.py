@@ -67,17 +67,29 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def jobs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Give every core work when the files of a scan make fewer splits than there are cores.
+
+    Input of more splits than cores, as any large table has, is left alone.
+    """
+    wanted = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(wanted, *keys) if rows.rdd.getNumPartitions() < wanted else rows
+
+
+def jobs(spark: SparkSession, sf_dir: str, *columns: str, heavy: bool = False) -> DataFrame:
     """The analysis table, joining only the dimensions the asked columns come from.
 
     Each lineitem row has exactly one order, part, customer, nation and region (see
     ``broken_references``), so a join whose columns nobody reads changes nothing and
     is left out. Join strategies are left to Spark: it broadcasts a dimension only
-    when its size is known to be small, and splits skewed keys otherwise.
+    when its size is known to be small, and splits skewed keys otherwise. ``heavy`` says
+    that the work per row is worth spreading a scan of few splits over all cores.
     """
     names = list(columns) or JOBS_COLUMNS
     needs = {_COLUMNS[name][1] for name in names}
     rows = load(spark, sf_dir, "lineitem")
+    if heavy:
+        rows = spread(rows, "l_orderkey", "l_linenumber")
     if needs & {"orders", "region"}:
         orders = load(spark, sf_dir, "orders")
         if "region" in needs:
