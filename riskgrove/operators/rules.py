@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskgrove.functions.columns import item_columns
+from riskgrove.functions.columns import item_columns, lookup
 from riskgrove.sources import schema as S
 
 METRICS = [
@@ -48,36 +48,51 @@ def frequent_itemsets(
 ) -> DataFrame:
     """(items, length, n, support) of every itemset with at least the minimum support.
 
-    Equal baskets are counted first, then infrequent items are taken out and equal
-    baskets are counted again, so subsets are made once per distinct basket and not once
-    per row. The frequent items fit one array: at most items-per-basket / min_support.
+    Equal baskets are counted once, so later steps work on distinct baskets. Each level
+    extends the frequent sets found inside a basket by its later items and sums the
+    basket counts per extension; partial sums leave only the few extensions to shuffle.
+    A level holds at most ``choose(basket size, length) / min_support`` frequent sets,
+    so its list is small enough for the driver and for a broadcast.
     """
-    total = baskets.agg(F.count("*")).scalar()
-    counted = baskets.groupBy("items").agg(F.count("*").alias("w"))
-    singles = (
-        counted.select(F.explode("items").alias("item"), "w")
-        .groupBy("item")
-        .agg(F.sum("w").alias("w"))
-        .where(F.col("w") / total >= min_support)
-    )
-    known = singles.agg(F.array_sort(F.collect_list("item"))).scalar()
-    pruned = (
-        counted.select(F.array_intersect(F.col("items"), known).alias("items"), "w")
-        .where(F.size("items") > 0)
-        .groupBy("items")
-        .agg(F.sum("w").alias("w"))
-    )
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("items")) - 1)
-    short = F.filter(masks, lambda m: F.bit_count(m) <= max_length)
-    subsets = pruned.select("items", "w", F.explode(short).alias("mask")).select(
-        _chosen("items", "mask").alias("items"), "w"
-    )
-    return (
-        subsets.groupBy("items")
-        .agg(F.sum("w").alias("n"))
-        .withColumn("support", F.col("n") / total)
-        .where(F.col("support") >= min_support)
-        .select("items", F.size("items").alias("length"), "n", "support")
+    spark = baskets.sparkSession
+    counted = baskets.groupBy("items").agg(F.count("*").alias("w")).persist()
+    try:
+        total = counted.agg(F.sum("w")).first()[0] or 0
+        sums = counted.select(F.explode("items").alias("item"), "w").groupBy("item").agg(
+            F.sum("w").alias("n")
+        )
+        enough = lambda df: df.where(F.col("n") / F.lit(total) >= min_support).collect()
+        level = sorted(((r["item"],), r["n"]) for r in enough(sums)) if total else []
+        found = list(level)
+        names = [items[0] for items, _ in level]
+        codes = {name: code for code, name in enumerate(names)}
+        if names and max_length > 1:
+            coded = F.transform("items", lambda x: lookup(x, codes))
+            inside = counted.select(
+                F.array_sort(F.filter(coded, lambda x: x.isNotNull())).alias("codes"), "w"
+            )
+            grown = inside.select("codes", "w", F.explode("codes").alias("last"), F.lit(-1).alias("prefix"))
+            known = [(-1, code, code) for code in range(len(names))]
+            for _ in range(1, max_length):
+                sets = [items for items, _ in level]
+                table = spark.createDataFrame(known, "prefix int, last int, id int")
+                grown = (
+                    grown.join(F.broadcast(table), ["prefix", "last"])
+                    .select("codes", "w", F.col("last").alias("before"), F.col("id").alias("prefix"), F.explode("codes").alias("last"))
+                    .where(F.col("last") > F.col("before"))
+                    .select("codes", "w", "last", "prefix")
+                )
+                hits = enough(grown.groupBy("prefix", "last").agg(F.sum("w").alias("n")))
+                level = [(sets[h["prefix"]] + (names[h["last"]],), h["n"]) for h in hits]
+                if not level:
+                    break
+                known = [(h["prefix"], h["last"], i) for i, h in enumerate(hits)]
+                found += level
+    finally:
+        counted.unpersist()
+    return spark.createDataFrame(
+        [(list(items), len(items), n, n / total) for items, n in found],
+        "items array<string>, length int, n long, support double",
     )
 
 

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgrove.operators.common import as_rows
-from riskgrove.operators.ranks import attach_small, counted_values, named_quantiles
+from riskgrove.operators.ranks import (
+    attach_small,
+    counted_values,
+    named_quantiles,
+    running_counts,
+)
 
 
 def extremes(rows: DataFrame, column: str, high: float = 80, low: float = 20) -> DataFrame:
@@ -106,9 +111,8 @@ def best_row(rows: DataFrame, metric: str, largest: bool = True) -> DataFrame:
 
 
 def competition_rank(rows: DataFrame, metric: str, out: str = "rank") -> DataFrame:
-    """Rank of a small result table, best first, ties sharing the smallest rank."""
-    better = rows.groupBy(F.col(metric).alias("__m")).agg(F.count("*").alias("__c"))
-    table = better.agg(F.collect_list(F.struct("__m", "__c"))).scalar()
-    above = F.filter(table, lambda e: e.getField("__m") > F.col(metric))
-    total = F.aggregate(above, F.lit(0).cast("long"), lambda acc, e: acc + e.getField("__c"))
-    return rows.withColumn(out, (total + 1).cast("int"))
+    """Rank, best first; ties share the smallest rank."""
+    counts = rows.groupBy(metric).agg(F.count("*").alias("__ties"))
+    ran = running_counts(counts, [], metric, {"__before": "__ties"})
+    better = F.col("__before_all") - F.col("__before") - F.col("__ties")
+    return rows.join(ran.select(metric, (better + 1).cast("int").alias(out)), metric)
