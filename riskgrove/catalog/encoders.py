@@ -1 +1,186 @@
-"""Later."""
+"""Encoder, scaler and information queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskgrove.catalog.profiles import split_jobs, split_sql
+from riskgrove.catalog.registry import (
+    GROWTH_SQL,
+    RISK_CODE_SQL,
+    over_jobs,
+    r,
+    register,
+    rounded,
+    sql_long,
+)
+from riskgrove.functions.binning import cut
+from riskgrove.operators import encode as E, select as Q
+from riskgrove.operators.common import distinct_levels
+from riskgrove.operators.information import mutual_information
+from riskgrove.plans.prepare import DUMMIES, feature_names, prepare
+from riskgrove.sources import schema as S
+from riskgrove.sources.tables import jobs
+
+_SIGMOID = "1 / (1 + exp(-(n - 20e0) / 10e0))"
+_ENCODING = f""", train AS (SELECT * FROM split_rows WHERE split = 'train'),
+    prior AS (SELECT avg(risk) AS prior FROM train),
+    stats AS (SELECT job_title, avg(risk) AS m, count(risk) AS n FROM train GROUP BY job_title),
+    enc AS (SELECT job_title, n, prior * (1 - {_SIGMOID}) + m * ({_SIGMOID}) AS encoded,
+                   prior * (1 - n / (n + 10e0)) + m * (n / (n + 10e0)) AS additive FROM stats, prior) """
+
+
+def _train(spark, sf_dir):
+    return split_jobs(spark, sf_dir, "job_title", "risk").where(F.col("split") == "train")
+
+
+@register(
+    "k09_target_encoding",
+    over_jobs(split_sql(RISK_CODE_SQL) + _ENCODING + f"SELECT job_title, {r('encoded')} AS encoded, n FROM enc"),
+)
+def target_encoding(spark, sf_dir):
+    return rounded(E.target_encoding(_train(spark, sf_dir), "job_title", "risk"))
+
+
+@register(
+    "k09_target_encoding_additive",
+    over_jobs(split_sql(RISK_CODE_SQL) + _ENCODING + f"SELECT job_title, {r('additive')} AS encoded, n FROM enc"),
+)
+def target_encoding_additive(spark, sf_dir):
+    return rounded(E.target_encoding(_train(spark, sf_dir), "job_title", "risk", method="additive"))
+
+
+@register(
+    "j04_encoding_lookup",
+    over_jobs(
+        split_sql(RISK_CODE_SQL)
+        + _ENCODING
+        + f"""SELECT row_id, split, {r('coalesce(encoded, prior)')} AS job_title_encoded
+              FROM split_rows LEFT JOIN enc USING (job_title), prior"""
+    ),
+)
+def encoding_lookup(spark, sf_dir):
+    rows = split_jobs(spark, sf_dir, "job_title")
+    train = _train(spark, sf_dir)
+    encoding = E.target_encoding(train, "job_title", "risk")
+    out = E.apply_target_encoding(rows, encoding, train, "job_title", "risk", "job_title_encoded")
+    return rounded(out.select("row_id", "split", "job_title_encoded"))
+
+
+# The levels of the two one-hot columns in the given tables, in sorted order.
+_LEVELS = {
+    "industry": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
+    "location": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+}
+
+
+@register(
+    "k10_one_hot",
+    over_jobs(
+        "SELECT row_id, "
+        + ", ".join(
+            f"CASE WHEN {c} = '{x}' THEN 1 ELSE 0 END AS \"{c}_{x}\"" for c in DUMMIES for x in _LEVELS[c][1:]
+        )
+        + " FROM jobs"
+    ),
+)
+def one_hot(spark, sf_dir):
+    return E.one_hot(jobs(spark, sf_dir, "row_id", *DUMMIES), DUMMIES)
+
+
+def _scale_sql(cols: list[str], source: str, fitted: str) -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
+    scaled = ", ".join(r(f"({c} - m_{c}) / s_{c}") + f" AS {c}" for c in cols)
+    return f", fit AS (SELECT {stats} FROM {fitted}) SELECT row_id, {scaled} FROM {source}, fit"
+
+
+@register(
+    "k11_standardise_on_train",
+    over_jobs(
+        split_sql(RISK_CODE_SQL)
+        + _scale_sql(["salary", "remote", "experience"], "split_rows", "(SELECT * FROM split_rows WHERE split = 'train')")
+    ),
+)
+def standardise_on_train(spark, sf_dir):
+    cols = ["salary", "remote", "experience"]
+    rows = split_jobs(spark, sf_dir, *cols)
+    scaled = E.standardise(rows, cols, fit_on=rows.where(F.col("split") == "train"))
+    return rounded(scaled.select("row_id", *cols))
+
+
+@register("k12_standardise_all", over_jobs(_scale_sql(S.NUMERIC, "jobs", "jobs")))
+def standardise_all(spark, sf_dir):
+    return rounded(E.standardise(jobs(spark, sf_dir, "row_id", *S.NUMERIC), S.NUMERIC))
+
+
+@register(
+    "x10_feature_list",
+    over_jobs(
+        ", names AS (SELECT unnest(["
+        + ", ".join(f"'{c}'" for c in feature_names({c: [""] for c in DUMMIES}))
+        + """]) AS feature, generate_subscripts(["""
+        + ", ".join("1" for _ in feature_names({c: [""] for c in DUMMIES}))
+        + """], 1) AS pos),
+        levels AS (SELECT 1 AS block, 'industry_' || industry AS feature FROM jobs GROUP BY industry
+                   HAVING industry > (SELECT min(industry) FROM jobs)
+                   UNION ALL SELECT 2, 'location_' || location FROM jobs GROUP BY location
+                   HAVING location > (SELECT min(location) FROM jobs)),
+        listed AS (SELECT 0 AS block, pos, feature FROM names
+                  UNION ALL SELECT block, row_number() OVER (PARTITION BY block ORDER BY feature), feature FROM levels)
+        SELECT CAST(row_number() OVER (ORDER BY block, pos) - 1 AS INT) AS position, feature FROM listed"""
+    ),
+)
+def feature_list(spark, sf_dir):
+    raw = jobs(spark, sf_dir, *DUMMIES)
+    names = feature_names({c: distinct_levels(raw, c) for c in DUMMIES})
+    return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
+
+
+@register(
+    "x10_feature_matrix",
+    over_jobs(
+        split_sql(RISK_CODE_SQL)
+        + _ENCODING
+        + f""", s AS (SELECT avg(salary) AS m, stddev_samp(salary) AS sd FROM train)
+        SELECT row_id, label, split, {r('salary')} AS salary, openings_now, {r(GROWTH_SQL)} AS growth_rate,
+               {r('(salary - m) / sd')} AS salary_zscore, {r('coalesce(encoded, prior)')} AS job_title_encoded,
+               CASE WHEN industry = 'LARGE' THEN 1 ELSE 0 END AS "industry_LARGE"
+        FROM split_rows LEFT JOIN enc USING (job_title), prior, s"""
+    ),
+)
+def feature_matrix(spark, sf_dir):
+    ready = prepare(jobs(spark, sf_dir))
+    cols = ["salary", "openings_now", "growth_rate", "salary_zscore", "job_title_encoded", "industry_LARGE"]
+    return rounded(ready.rows.select("row_id", "label", "split", *cols))
+
+
+_MI_FEATURES = [*S.NUMERIC, "salary_per_experience"]
+
+
+@register(
+    "l10_mutual_information",
+    over_jobs(
+        f""", wide AS (SELECT *, salary / (experience + 1) AS salary_per_experience, {RISK_CODE_SQL} AS label FROM jobs),
+        long AS ({sql_long(_MI_FEATURES, 'label', 'wide')}),
+        e AS (SELECT "column", quantile_cont(value, [{', '.join(str(i / 10) for i in range(1, 10))}]) AS edges
+              FROM long GROUP BY "column"),
+        b AS (SELECT "column", label, len(list_filter(edges, lambda x: x < value)) AS bin FROM long JOIN e USING ("column")),
+        j AS (SELECT "column", bin, label, count(*) * 1e0 AS n FROM b GROUP BY ALL),
+        w AS (SELECT *, sum(n) OVER (PARTITION BY "column", bin) AS nb, sum(n) OVER (PARTITION BY "column", label) AS nl,
+                     sum(n) OVER (PARTITION BY "column") AS total FROM j)
+        SELECT "column" AS feature, {r('sum(n / total * ln(n * total / (nb * nl)))', 9)} AS mutual_info FROM w GROUP BY "column" """
+    ),
+)
+def mutual_info(spark, sf_dir):
+    rows = jobs(spark, sf_dir, "risk", *S.NUMERIC, heavy=True).withColumn(
+        "salary_per_experience", F.col("salary") / (F.col("experience") + 1)
+    ).withColumn("label", cut("risk", S.RISK_EDGES, S.RISK_CODES))
+    found = mutual_information(rows, _MI_FEATURES, "label")
+    return found.withColumn("mutual_info", F.round("mutual_info", 9))
+
+
+@register("l10_top_information")
+def top_information(spark, sf_dir):
+    ready = prepare(jobs(spark, sf_dir, heavy=True))
+    found = mutual_information(ready.train, ready.features, "label")
+    return rounded(Q.top_rows(found, [F.desc("mutual_info"), "feature"], 10))

@@ -1 +1,229 @@
-"""Later."""
+"""Queries on ensembles fitted to the given tables.
+
+Fitted ensembles and the prepared table are kept per session and input folder, as several
+queries look at the same model.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from riskgrove.catalog.registry import register, rounded
+from riskgrove.operators import (
+    attribution as H,
+    evaluate as M,
+    models as L,
+    select as Q,
+    split as V,
+    treeshap,
+    tuning as T,
+)
+from riskgrove.plans.prepare import Prepared, prepare
+from riskgrove.session import shared_path
+from riskgrove.sources import files as IO, schema as S
+from riskgrove.sources.tables import jobs
+
+CLASSES = S.RISK_CODES
+SCORES = {0: "p0", 1: "p1", 2: "p2"}
+_KEPT: dict[tuple, object] = {}
+
+
+def _once(spark, sf_dir, what, make):
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def prepared(spark, sf_dir) -> Prepared:
+    """The prepared table, written once to the shared folder: fits pass over it many times."""
+
+    def make():
+        ready = prepare(jobs(spark, sf_dir, heavy=True))
+        path = shared_path(spark, "matrix")
+        IO.write_table(ready.rows, path)
+        return Prepared(spark.read.parquet(path), ready.features)
+
+    return _once(spark, sf_dir, "prepared", make)
+
+
+def boosted(spark, sf_dir):
+    ready = prepared(spark, sf_dir)
+    fit = lambda: L.fit_boosted(ready.train, ready.features, CLASSES, L.SMALL_BOOST, key="row_id")
+    return _once(spark, sf_dir, "boosted", fit)
+
+
+def second_boosted(spark, sf_dir):
+    ready = prepared(spark, sf_dir)
+    fit = lambda: L.fit_boosted(ready.train, ready.features, CLASSES, L.SMALL_SECOND_BOOST, key="row_id")
+    return _once(spark, sf_dir, "second boosted", fit)
+
+
+def forest(spark, sf_dir):
+    ready = prepared(spark, sf_dir)
+    return _once(spark, sf_dir, "forest", lambda: L.fit_forest(ready.train, ready.features, L.SMALL_FOREST))
+
+
+_OUT = ["row_id", "label", "p0", "p1", "p2", "prediction"]
+
+
+@register("l01_boosted_scores")
+def boosted_scores(spark, sf_dir):
+    return L.score(boosted(spark, sf_dir), prepared(spark, sf_dir).test, CLASSES).select(*_OUT)
+
+
+@register("l02_second_boosted_scores")
+def second_boosted_scores(spark, sf_dir):
+    return L.score(second_boosted(spark, sf_dir), prepared(spark, sf_dir).test, CLASSES).select(*_OUT)
+
+
+@register("l03_forest_scores")
+def forest_scores(spark, sf_dir):
+    return L.score(forest(spark, sf_dir), prepared(spark, sf_dir).test, CLASSES).select(*_OUT)
+
+
+@register("l04_scores_full")
+def scores_full(spark, sf_dir):
+    rows = prepared(spark, sf_dir).rows
+    return L.score(boosted(spark, sf_dir), rows, CLASSES).select("split", *_OUT)
+
+
+def _importances(spark, sf_dir):
+    model = boosted(spark, sf_dir)
+    return L.importances(L.tree_nodes(model, CLASSES, spark), prepared(spark, sf_dir).features)
+
+
+@register("l06_split_importance")
+def split_importance(spark, sf_dir):
+    return _importances(spark, sf_dir).select("position", "feature", "importance_split")
+
+
+@register("l07_gain_importance")
+def gain_importance(spark, sf_dir):
+    return _importances(spark, sf_dir).select("position", "feature", "importance_gain")
+
+
+@register("o04_top_gain")
+def top_gain(spark, sf_dir):
+    return Q.top_rows(_importances(spark, sf_dir), [F.desc("importance_gain"), "feature"], 15)
+
+
+@register("m11_fitted_models")
+def fitted_models(spark, sf_dir):
+    """The three ensembles side by side on the test rows."""
+    test = prepared(spark, sf_dir).test
+    named = {
+        "boosted": boosted(spark, sf_dir),
+        "second boosted": second_boosted(spark, sf_dir),
+        "forest": forest(spark, sf_dir),
+    }
+    stacked = None
+    for name, model in named.items():
+        part = L.score(model, test, CLASSES).select(F.lit(name).alias("model"), *_OUT)
+        stacked = part if stacked is None else stacked.unionByName(part)
+    return M.compare_models(stacked, SCORES)
+
+
+@register("l08_fitted_high_risk_list")
+def fitted_high_risk_list(spark, sf_dir):
+    scored = L.score(boosted(spark, sf_dir), prepared(spark, sf_dir).rows, CLASSES)
+    raw = jobs(spark, sf_dir, "row_id", "job_title", "industry", "ai_impact", "risk")
+    high = scored.where(F.col("prediction") == 2).select(
+        "row_id",
+        F.col("prediction").alias("predicted_risk"),
+        F.col("p2").alias("high_prob"),
+        F.col("label").alias("actual_category"),
+    )
+    return raw.join(high, "row_id").orderBy(F.desc("high_prob"), "row_id")
+
+
+def _fit(features, train, point, base=L.BoostProfile(rounds=1, depth=3, step=0.1)):
+    settings = {**base.__dict__, **{k: v for k, v in point.items()}}
+    return L.fit_boosted(train, features, CLASSES, L.BoostProfile(**settings))
+
+
+def _folded(spark, sf_dir, k):
+    """The training rows with folds, written once: every trial filters the same folds."""
+
+    def make():
+        path = shared_path(spark, "folds")
+        train = prepared(spark, sf_dir).train
+        IO.write_table(V.stratified_folds(train, "label", "row_id", k), path)
+        return spark.read.parquet(path)
+
+    return _once(spark, sf_dir, f"folds {k}", make)
+
+
+@register("v04_grid_search")
+def grid_search(spark, sf_dir):
+    features = prepared(spark, sf_dir).features
+    grid = {"depth": [2, 3], "min_child": [20]}
+    table, _ = T.grid_search(
+        _folded(spark, sf_dir, 3), partial(_fit, features), grid, 3, CLASSES, parallelism=4
+    )
+    return table
+
+
+@register("v05_cross_validation")
+def cross_validation(spark, sf_dir):
+    features = prepared(spark, sf_dir).features
+    return T.cross_validate(
+        _folded(spark, sf_dir, 5), partial(_fit, features), 5, CLASSES, point={"depth": 2}, parallelism=4
+    )
+
+
+def _explained(spark, sf_dir):
+    ready = prepared(spark, sf_dir)
+
+    def make():
+        long, base = treeshap.tree_shap(
+            boosted(spark, sf_dir), ready.test, ready.features, CLASSES, "row_id"
+        )
+        path = shared_path(spark, "shap")
+        IO.write_attributions(long, path)
+        return spark.read.parquet(path), base
+
+    return _once(spark, sf_dir, "shap", make)
+
+
+@register("h01_tree_shap")
+def tree_shap(spark, sf_dir):
+    long, _ = _explained(spark, sf_dir)
+    return rounded(long.select("row_id", "class", "feature", "value", "shap"), 9)
+
+
+@register("h01_additivity")
+def additivity(spark, sf_dir):
+    """Contributions plus base against the ensemble's own output, per row and class."""
+    long, base = _explained(spark, sf_dir)
+    table = spark.createDataFrame(list(zip(CLASSES, base)), "class int, base double")
+    sums = long.groupBy("row_id", "class").agg(F.sum("shap").alias("shap"))
+    out = L.margins(boosted(spark, sf_dir), prepared(spark, sf_dir).test, CLASSES)
+    own = out.select(
+        "row_id",
+        F.inline(F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"m{k}").alias("margin")) for k in CLASSES])),
+    )
+    joined = sums.join(F.broadcast(table), "class").join(own, ["row_id", "class"])
+    return joined.select(
+        "row_id", "class", (F.col("shap") + F.col("base")).alias("explained"), "margin"
+    )
+
+
+@register("h02_expected_values")
+def expected_values(spark, sf_dir):
+    leaves = treeshap.ensemble_leaves(boosted(spark, sf_dir), CLASSES, spark)
+    base = treeshap.base_values(leaves, len(CLASSES))
+    return spark.createDataFrame([(k, float(v)) for k, v in zip(CLASSES, base)], "class int, base double")
+
+
+@register("h03_fitted_importance")
+def fitted_importance(spark, sf_dir):
+    return H.global_importance(_explained(spark, sf_dir)[0])
+
+
+@register("h08_fitted_comparison")
+def fitted_comparison(spark, sf_dir):
+    scored = L.score(boosted(spark, sf_dir), prepared(spark, sf_dir).test, CLASSES)
+    return H.high_low_comparison(_explained(spark, sf_dir)[0], scored)

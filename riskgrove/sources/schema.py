@@ -67,6 +67,28 @@ GROWTH_ITEMS = {"Increasing": "Growth_Inc", "Decreasing": "Growth_Dec"}
 IMPACT_ITEMS = {"Low": "AI_Low", "Moderate": "AI_Moderate", "High": "AI_High"}
 EXPERIENCE_ORDER = EXPERIENCE_LEVELS
 
+# The order of the prepared matrix's columns between the numeric ones and the dummies.
+DERIVED = [
+    "growth_rate",
+    "salary_per_experience",
+    "job_density",
+    "salary_remote_interaction",
+    "growth_impact_interaction",
+    "salary_experience_interaction",
+    "diversity_growth_interaction",
+    "remote_growth_interaction",
+    "salary_zscore",
+]
+CODES = [
+    "education_encoded",
+    "impact_encoded",
+    "status_encoded",
+    "experience_level_encoded",
+    "salary_level_encoded",
+    "remote_level_encoded",
+    "growth_category_encoded",
+]
+
 TRANSACTION_COLUMNS = [
     "industry",
     "risk_level",
