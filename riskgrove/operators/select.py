@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskgrove.operators.common import as_rows
 from riskgrove.operators.ranks import (
-    attach_small,
     counted_values,
     named_quantiles,
     running_counts,
@@ -41,7 +40,7 @@ def iqr_outliers(rows: DataFrame, cols: list[str]) -> DataFrame:
     outside = (value < F.col("lower")) | (value > F.col("upper"))
     beyond = F.sum(F.when(outside, F.col("ties")).otherwise(0))
     return (
-        attach_small(counts, bounds, ["column"])
+        counts.join(bounds, "column")
         .groupBy("column", "lower", "upper")
         .agg(
             beyond.alias("n_outliers"),
