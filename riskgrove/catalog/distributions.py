@@ -11,6 +11,7 @@ from riskgrove.catalog.registry import (
     r,
     register,
     rounded,
+    settled,
     sql_cut,
     sql_levels,
     sql_long,
@@ -44,10 +45,10 @@ def histogram_density(spark, sf_dir):
     out = D.histogram(jobs(spark, sf_dir, "risk"), "risk", 50, density=True)
     return out.select(
         "bin",
-        F.round("lower", 6).alias("lower"),
-        F.round("upper", 6).alias("upper"),
+        settled("lower", 6).alias("lower"),
+        settled("upper", 6).alias("upper"),
         "n",
-        F.round("density", 9).alias("density"),
+        settled("density", 9).alias("density"),
     )
 
 
@@ -84,7 +85,7 @@ def centre_lines(spark, sf_dir):
 )
 def kde(spark, sf_dir):
     out = D.kde(jobs(spark, sf_dir, "risk", heavy=True), "risk")
-    return out.select("point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+    return out.select("point", settled("x", 6).alias("x"), settled("density", 9).alias("density"))
 
 
 def _side(rows):
@@ -117,7 +118,7 @@ def kde_high_low(spark, sf_dir):
     rows = _side(jobs(spark, sf_dir, "risk", *S.COMPARED, heavy=True))
     out = D.kde_groups(rows, S.COMPARED, "side")
     return out.select(
-        "side", "column", "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density")
+        "side", "column", "point", settled("x", 6).alias("x"), settled("density", 9).alias("density")
     )
 
 
@@ -129,7 +130,7 @@ def kde_high_low(spark, sf_dir):
     ),
 )
 def ecdf(spark, sf_dir):
-    return D.ecdf(jobs(spark, sf_dir, "risk"), "risk").withColumn("fraction", F.round("fraction", 9))
+    return D.ecdf(jobs(spark, sf_dir, "risk"), "risk").withColumn("fraction", settled("fraction", 9))
 
 
 def box_sql(long: str, keys: str) -> str:

@@ -12,6 +12,7 @@ from riskgrove.catalog.registry import (
     r,
     register,
     rounded,
+    settled,
     sql_long,
 )
 from riskgrove.functions.binning import cut
@@ -176,7 +177,7 @@ def mutual_info(spark, sf_dir):
         "salary_per_experience", F.col("salary") / (F.col("experience") + 1)
     ).withColumn("label", cut("risk", S.RISK_EDGES, S.RISK_CODES))
     found = mutual_information(rows, _MI_FEATURES, "label")
-    return found.withColumn("mutual_info", F.round("mutual_info", 9))
+    return found.withColumn("mutual_info", settled("mutual_info", 9))
 
 
 @register("l10_top_information")

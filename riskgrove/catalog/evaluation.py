@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskgrove.catalog.profiles import split_jobs, split_sql
 from riskgrove.catalog.features import TERTILE_CTE
-from riskgrove.catalog.registry import RISK_CODE_SQL, over_jobs, r, register, rounded
+from riskgrove.catalog.registry import RISK_CODE_SQL, over_jobs, r, register, rounded, settled
 from riskgrove.catalog.selection import SCORED_SQL, scored
 from riskgrove.functions.binning import cut, qcut
 from riskgrove.operators import evaluate as M, select as Q, split as V
@@ -160,9 +160,9 @@ def roc(spark, sf_dir):
     points = M.roc(scored(spark, sf_dir, heavy=True), SCORES)
     return points.select(
         "class",
-        F.round("threshold", 9).alias("threshold"),
-        F.round("fpr", 6).alias("fpr"),
-        F.round("tpr", 6).alias("tpr"),
+        settled("threshold", 9).alias("threshold"),
+        settled("fpr", 6).alias("fpr"),
+        settled("tpr", 6).alias("tpr"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskgrove.sources import schema as S
 from riskgrove.sources.tables import JOBS_SQL
@@ -32,19 +32,33 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _nudge(digits: int) -> float:
+    """Far below the last digit kept, far above the noise of summation order.
+
+    A mean that ends in an exact half of the last digit would otherwise round by its noise.
+    """
+    return float(f"3.3e-{digits + 2}")
+
+
+def settled(value: Column | str, digits: int = 6) -> Column:
+    """Round one column so that the order of summation cannot show."""
+    col = F.col(value) if isinstance(value, str) else value
+    return F.round(col + F.lit(_nudge(digits)), digits)
+
+
 def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, so that the order of summation cannot show."""
+    """Settle every double column."""
     return rows.select(
         *[
-            F.round(f"`{c}`", digits).alias(c) if kind == "double" else F.col(f"`{c}`")
+            settled(f"`{c}`", digits).alias(c) if kind == "double" else F.col(f"`{c}`")
             for c, kind in rows.dtypes
         ]
     )
 
 
 def r(expression: str, digits: int = 6) -> str:
-    """SQL twin of ``rounded`` for one expression (adding zero turns -0 into 0)."""
-    return f"(round({expression}, {digits}) + 0e0)"
+    """SQL twin of ``settled`` (adding zero turns -0 into 0)."""
+    return f"(round({expression} + {_nudge(digits)!r}, {digits}) + 0e0)"
 
 
 def over_jobs(body: str) -> str:

@@ -12,6 +12,7 @@ from riskgrove.catalog.registry import (
     r,
     register,
     rounded,
+    settled,
     sql_cut,
     sql_levels,
     sql_lookup,
@@ -427,7 +428,7 @@ def top_importances(spark, sf_dir):
         "risk", *[F.col(c).cast("double").alias(c) for c in S.NUMERIC]
     )
     scores = long.unpivot(["risk"], S.NUMERIC, "feature", "value").groupBy("feature").agg(
-        F.round(F.abs(F.corr("value", "risk")), 9).alias("importance")
+        settled(F.abs(F.corr("value", "risk")), 9).alias("importance")
     )
     return Q.top_rows(scores, [F.desc("importance"), "feature"], 4)
 
@@ -435,7 +436,7 @@ def top_importances(spark, sf_dir):
 @register(
     "o05_top_absolute",
     over_jobs(
-        f""", d AS (SELECT job_title, round(avg(risk) - (SELECT avg(risk) FROM jobs), 6) + 0e0 AS diff
+        f""", d AS (SELECT job_title, {r('(avg(risk) - (SELECT avg(risk) FROM jobs))')} AS diff
                     FROM jobs GROUP BY job_title)
         SELECT job_title, diff FROM d ORDER BY abs(diff) DESC, job_title LIMIT 15"""
     ),
@@ -444,7 +445,7 @@ def top_absolute(spark, sf_dir):
     rows = jobs(spark, sf_dir, "job_title", "risk")
     overall = rows.agg(F.avg("risk")).scalar()
     means = rows.groupBy("job_title").agg(F.avg("risk").alias("m"))
-    diffs = means.select("job_title", F.round(F.col("m") - overall, 6).alias("diff"))
+    diffs = means.select("job_title", settled(F.col("m") - overall).alias("diff"))
     return Q.top_absolute(diffs, "diff", "job_title", 15)
 
 
@@ -457,7 +458,7 @@ def top_absolute(spark, sf_dir):
 )
 def best_row(spark, sf_dir):
     table = jobs(spark, sf_dir, "experience", "risk").groupBy(F.col("experience").alias("k")).agg(
-        F.round(F.avg("risk"), 6).alias("score")
+        settled(F.avg("risk")).alias("score")
     )
     return Q.best_row(table, "score")
 
