@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskgrove.llm.common import lowered, may_hold, membership, quoted, settled, text_of, unboxed
 
-#: Bytes of a text that the second step hashes.
-PREFIX_BYTES = 256
+#: Characters of a text that the second step hashes.
+PREFIX_CHARS = 256
 
 #: Columns that ``exact_groups`` adds.
 FOUND = ("keep_id", "group_size", "kept", "text_hash")
@@ -20,7 +20,7 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: Sequence[str] | None = None,
-    prefix_bytes: int = PREFIX_BYTES,
+    prefix_chars: int = PREFIX_CHARS,
 ) -> DataFrame:
     """Every row with ``keep_id``, ``group_size``, ``kept`` and ``text_hash`` (binary SHA-256).
 
@@ -37,7 +37,7 @@ def exact_groups(
     """
     low = lowered(text_of(text_col))
     size = F.octet_length(text_of(text_col))
-    start = F.xxhash64(size, F.substring(low.cast("binary"), 1, prefix_bytes))
+    start = F.xxhash64(size, lowered(F.substring(text_of(text_col), 1, prefix_chars)))
     full = F.unhex(F.sha2(low, 256))
 
     sizes = docs.select(size.alias("size")).groupBy("size").count().where("count > 1")
