@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from riskgrove.llm import ctw, decontaminate, exact, mixing, quality, simhash
+from riskgrove.llm import ctw, decontaminate, exact, html, mixing, quality, secrets, simhash
 from riskgrove.llm.common import lowered, text_of
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -22,6 +22,11 @@ def op3_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return rows.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -40,6 +45,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    named = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    listed = lambda spans: F.array_join(F.transform(spans, named), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return rows.select(
+        "row.doc_id",
+        *[of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "novel")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(lowered(text_of("text")), 256))
@@ -128,8 +146,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
     "op3_ctw_score": op3_ctw_score,
+    "op4_html_text": op4_html_text,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
