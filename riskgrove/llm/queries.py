@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from riskgrove.llm import ctw, decontaminate, exact, html, mixing, quality, secrets, simhash
-from riskgrove.llm.common import lowered, text_of
+from riskgrove.llm import chat, ctw, decontaminate, exact, html, mixing, quality, rollup, secrets, simhash
+from riskgrove.llm.common import WORD, lowered, text_of
+from riskgrove.session import shared_path
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -27,6 +28,37 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are counted under two tokenizer versions; documents labelled as poor are
+    counted anew (their words without pieces of symbols only) and toxic ones are deleted. The
+    second batch is sent twice, as after a restart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    labels = table(spark, sf_dir, "labels")
+    words = rollup.pattern_count("text", WORD)
+    plain = rollup.pattern_count("text", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    store = rollup.Store(spark, shared_path(spark, "token-counts")).create()
+    store.commit("1 documents", rollup.measured(docs, {"words": words, "plain": plain}))
+    poor = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    for _ in range(2):
+        store.commit("2 poor documents", rollup.measured(poor, {"words": plain}))
+    store.commit("3 toxic documents", rollup.removed(labels.where("toxic = 1")))
+    return store.totals().withColumnRenamed("version", "tokenizer_version")
+
+
+OP5_SQL = rf"""
+WITH d AS (
+  SELECT d.*, len(regexp_extract_all(coalesce(text, ''), {WORD_SQL}))::BIGINT AS words,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))::BIGINT AS plain,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0) AS poor
+  FROM documents d
+  WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)),
+v AS (
+  SELECT source, lang, 'words' AS tokenizer_version, CASE WHEN poor THEN plain ELSE words END AS n FROM d
+  UNION ALL SELECT source, lang, 'plain', plain FROM d)
+SELECT source, lang, tokenizer_version, count(*) AS docs, sum(n)::BIGINT AS tokens FROM v GROUP BY ALL
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -38,6 +70,55 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.link(table(spark, sf_dir, "conversations"))
+    rows = rows.withColumn("reply_to", F.coalesce("reply_to", F.lit(-1).cast("long")))
+    return rows.select("conv_id", "turn", "role", "own_text", "n_quotes", "reply_to", "thread", "formatted")
+
+
+# The given conversations hold no quoted line; the twin reads quotes all the same.
+OP7_SQL = r"""
+WITH l AS (
+  SELECT conv_id, turn, role, text, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line,
+         generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS i
+  FROM conversations),
+m AS (
+  SELECT *, len(regexp_replace(regexp_extract(line, '^[ \t]*(>[ \t]*)+'), '[^>]', '', 'g')) AS level,
+         regexp_replace(line, '^[ \t]*(>[ \t]*)+', '') AS body
+  FROM l),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS run FROM m),
+u AS (
+  SELECT conv_id, turn, level, 1 AS part, body AS unit FROM m
+  UNION ALL SELECT conv_id, turn, level, 0, string_agg(body, chr(10) ORDER BY i) FROM r WHERE level > 0
+            GROUP BY conv_id, turn, level, run
+  UNION ALL SELECT conv_id, turn, 0, 0, string_agg(body, chr(10) ORDER BY i) FROM m WHERE level = 0
+            GROUP BY conv_id, turn),
+n AS (
+  SELECT conv_id, turn, level, part,
+         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[\x20\x09-\x0D]+', ' ', 'g')) AS unit FROM u),
+f AS (SELECT conv_id, unit, min(turn) AS original FROM n WHERE level = 0 AND unit <> '' GROUP BY ALL),
+k AS (
+  SELECT n.conv_id, n.turn, arg_min(original, (level, part, -original)) AS reply_to
+  FROM n JOIN f ON n.conv_id = f.conv_id AND n.unit = f.unit
+  WHERE level > 0 AND n.unit <> '' AND original < n.turn GROUP BY ALL),
+t AS (
+  WITH RECURSIVE c(conv_id, turn, thread) AS (
+    SELECT conv_id, turn, reply_to FROM k
+    UNION SELECT c.conv_id, c.turn, k.reply_to FROM c JOIN k ON k.conv_id = c.conv_id AND k.turn = c.thread)
+  SELECT conv_id, turn, min(thread) AS thread FROM c GROUP BY ALL),
+o AS (
+  SELECT conv_id, turn, any_value(role) AS role,
+         coalesce(trim(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), ' '), '') AS own_text
+  FROM m GROUP BY ALL),
+q AS (SELECT conv_id, turn, count(*) AS n_quotes FROM n WHERE level > 0 AND part = 0 AND unit <> '' GROUP BY ALL)
+SELECT conv_id, turn, role, own_text, coalesce(n_quotes, 0) AS n_quotes, coalesce(reply_to, -1) AS reply_to,
+       coalesce(thread, turn) AS thread,
+       '<|' || coalesce(role, '') || '|>' || chr(10) || own_text || chr(10) AS formatted
+FROM o LEFT JOIN q USING (conv_id, turn) LEFT JOIN k USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn)
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -147,11 +228,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_ctw_score": op3_ctw_score,
     "op4_html_text": op4_html_text,
+    "op5_token_rollup": op5_token_rollup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quote_links": op7_quote_links,
     "op8_simhash": op8_simhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+SQL: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
+    "op2_mix_sources": OP2_SQL,
+    "op5_token_rollup": OP5_SQL,
+    "op7_quote_links": OP7_SQL,
+    "op10_exact_dedup": OP10_SQL,
+}
