@@ -31,8 +31,8 @@ BATCH_BYTES = 4 << 20
 #: Entries of counts that a task gathers before it hands them on.
 GATHERED = 2_000_000
 
-#: Tree nodes that one scoring pass broadcasts, about; the passes cover all nodes.
-BLOCK_NODES = 4_000_000
+#: Leaves of the tree that one scoring pass broadcasts, about; the passes cover all leaves.
+BLOCK_LEAVES = 4_000_000
 
 #: Words whose counts are broadcast, at most; all other words meet their counts in a join.
 FREQUENT_WORDS = 1 << 20
@@ -137,12 +137,10 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     place = F.explode(F.sequence(F.lit(0), F.lit(7)))
     rows = counts.select("key", "n", place.alias("k"))
-    byte = F.col("key").bitwiseAND(F.lit(255).cast("long"))
     prefix = F.expr("shiftright(key & 255L | 256L, 8 - k)")
     bit = F.expr("shiftright(key & 255L, 7 - k) & 1L")
     node = F.shiftleft(F.shiftright("key", 8), 8).bitwiseOR(prefix)
     rows = rows.select(node.alias("node"), (F.col("n") * (1 - bit)).alias("n0"), (F.col("n") * bit).alias("n1"))
-    del byte
     sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
     levels: list[DataFrame] = []
     for d in range(depth, -1, -1):
@@ -183,107 +181,138 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 # ---- scoring -------------------------------------------------------------------------------
 
 
-class Nodes:
-    """The nodes of one block, with a hash table of the bytes that the deepest nodes predict."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], mine: np.ndarray, depth: int):
-        self.levels, self.mine, self.depth = levels, mine, depth
-        self.table: tuple[np.ndarray, ...] | None = None
-
-    def _find(self, d: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, _ = self.levels[d]
-        if not len(keys):
-            return np.zeros(len(nodes), np.int64), np.zeros(len(nodes), bool)
-        at = np.minimum(np.searchsorted(keys, nodes), len(keys) - 1)
-        return at, keys[at] == nodes
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of grams: eight decisions, each at its longest known context."""
-        total = np.zeros(len(keys))
-        byte, context = keys & np.uint64(255), keys >> np.uint64(8)
-        for k in range(8):
-            prefix = (byte | np.uint64(256)) >> np.uint64(8 - k)
-            one = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-            logit, open_ = np.zeros(len(keys)), np.arange(len(keys))
-            for d in range(self.depth, -1, -1):
-                short = context[open_] & np.uint64((1 << 8 * d) - 1)
-                at, known = self._find(d, (short << np.uint64(8)) | prefix[open_])
-                logit[open_[known]] = self.levels[d][1][at[known]]
-                open_ = open_[~known]
-                if not len(open_):
-                    break
-            total -= np.logaddexp(0, np.where(one, -logit, logit))
-        return total / math.log(10)
+def _log10(logit: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return -np.logaddexp(0, np.where(one, -logit, logit)) / math.log(10)
+
+
+def _leaf_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All deepest nodes of some contexts: the log probability of both bytes under seven bits."""
+    found = list(batches)
+    if not sum(b.num_rows for b in found):
+        return
+    table = pa.Table.from_batches(found)
+    nodes = table.column("node").to_numpy().view(np.uint64)
+    order = np.argsort(nodes)
+    nodes, logit = nodes[order], table.column("logit").to_numpy()[order].astype(float)
+    leaf = np.flatnonzero((nodes & np.uint64(128)) != 0)
+    context, low = nodes[leaf] & ~np.uint64(255), nodes[leaf] & np.uint64(127)
+    total = np.zeros(len(leaf))
+    for k in range(7):
+        prefix = (low | np.uint64(128)) >> np.uint64(7 - k)
+        one = ((low >> np.uint64(6 - k)) & np.uint64(1)).astype(bool)
+        total += _log10(logit[np.searchsorted(nodes, context | prefix)], one)
+    keys = (context >> np.uint64(1)) | low
+    zero = total + _log10(logit[leaf], np.zeros(len(leaf), bool))
+    one = total + _log10(logit[leaf], np.ones(len(leaf), bool))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(keys.view(np.int64)), pa.array(zero.astype(np.float32)), pa.array(one.astype(np.float32))],
+        names=["leaf", "zero", "one"],
+    )
+
+
+def leaves(nodes: DataFrame, depth: int) -> DataFrame:
+    """Rows (leaf, zero, one): log10 probabilities of the two bytes under every deepest node with
+    seven bits; ``leaf`` is the context and the bits. A task holds the contexts dealt to it."""
+    deepest = nodes.where(F.col("depth") == depth).select("node", "logit")
+    dealt = deepest.repartition(F.shiftright("node", 8))
+    return dealt.mapInArrow(_leaf_batches, "leaf long, zero float, one float")
+
+
+class Leaves:
+    """A block of leaves with a hash table, built where it is first used."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, mine: np.ndarray):
+        self.keys, self.values, self.mine = keys, values, mine
+        self.slots: np.ndarray | None = None
+        self.bits = max(4, int(len(keys) * 2).bit_length())
 
     def _build(self) -> None:
-        """Both bytes of every deepest node with seven bits, under one hashed key."""
-        nodes = self.levels[self.depth][0]
-        seven = nodes[(nodes & np.uint64(128)) != 0]
-        keys = ((seven >> np.uint64(8)) << np.uint64(7)) | (seven & np.uint64(127))
-        values = np.empty((len(keys), 2), np.float32)
-        for low in range(0, len(keys), 1 << 18):
-            some = keys[low : low + (1 << 18)] << np.uint64(1)
-            for last in (0, 1):
-                values[low : low + len(some), last] = self.log10(some | np.uint64(last))
-        bits = max(4, int(len(keys) * 2).bit_length())
-        slots, waiting = np.full(1 << bits, -1, np.int32), np.arange(len(keys), dtype=np.int32)
-        at = self._slot(keys, bits)
+        size = 1 << self.bits
+        slots, waiting = np.full(size, -1, np.int32), np.arange(len(self.keys), dtype=np.int32)
+        at = self._slot(self.keys)
         while len(waiting):
             free = slots[at] < 0
             slots[at[free]] = waiting[free]
             rest = slots[at] != waiting
-            waiting, at = waiting[rest], (at[rest] + 1) & ((1 << bits) - 1)
-        self.table = (keys, values, slots, bits)
+            waiting, at = waiting[rest], (at[rest] + 1) & (size - 1)
+        self.slots = slots
 
-    @staticmethod
-    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def scores(self, grams_: np.ndarray) -> np.ndarray:
-        """Log probability of every gram of this block, 0 for those of other blocks."""
-        if self.table is None:
+    def scores(self, grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of every gram of this block (else 0), and where a gram is unknown."""
+        if self.slots is None:
             self._build()
-        keys, values, slots, bits = self.table
         out = np.zeros(len(grams_))
-        if self.mine.all():
-            own = np.arange(len(grams_))
-        else:
+        own = np.arange(len(grams_))
+        if not self.mine.all():
             own = np.flatnonzero(self.mine[(grams_ >> np.uint64(8)) & np.uint64(0xFFFF)])
             grams_ = grams_[own]
         wanted, last = grams_ >> np.uint64(1), (grams_ & np.uint64(1)).astype(np.int64)
-        at, open_ = self._slot(wanted, bits), np.arange(len(wanted))
-        missing = []
+        at, open_ = self._slot(wanted), np.arange(len(wanted))
+        missing = [np.zeros(0, np.int64)]
         while len(open_):
-            found = slots[at]
-            empty = found < 0
-            if empty.any():
-                missing.append(open_[empty])
-            hit = ~empty
-            if len(keys):
-                hit &= keys[found] == wanted[open_]
+            found = self.slots[at]
+            hit = found >= 0
+            missing.append(open_[~hit])
+            if len(self.keys):
+                hit &= self.keys[found] == wanted[open_]
             where = open_[hit]
-            out[own[where]] = values[found[hit], last[where]]
-            more = ~(empty | hit)
-            open_, at = open_[more], (at[more] + 1) & ((1 << bits) - 1)
-        if missing:
-            where = np.concatenate(missing)
-            unique, place = np.unique(grams_[where], return_inverse=True)
-            out[own[where]] = self.log10(unique)[place]
-        return out
+            out[own[where]] = self.values[found[hit], last[where]]
+            more = (found >= 0) & ~hit
+            open_, at = open_[more], (at[more] + 1) & ((1 << self.bits) - 1)
+        return out, np.sort(own[np.concatenate(missing)])
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], block, depth: int) -> Iterator[pa.RecordBatch]:
-    nodes: Nodes = block.value
+    """A row for each text with its sum over known grams, and one for each unknown gram in it."""
+    table: Leaves = block.value
     for batch in batches:
         for part in slices(batch, "text", BATCH_BYTES):
             words, starts = words_of(plain_strings(part.column("text")), byte_table())
             keys, begins = grams(words, starts, depth)
-            total = segment_sums(nodes.scores(keys), begins)
+            scores, missing = table.scores(keys)
+            row = np.searchsorted(begins, missing, "right") - 1
+            order = np.lexsort((keys[missing], row))
+            row, gram = row[order], keys[missing][order].view(np.int64)
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+            times = np.diff(np.append(np.flatnonzero(new), len(row)))
+            mark = part.column("mark").to_numpy()
+            texts = len(starts) - 1
+            row = np.concatenate([np.arange(texts), row[new]])
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("mark"), pa.array(total)], names=["id", "mark", "score"]
+                [
+                    part.column("id").take(pa.array(row)),
+                    pa.array(mark[row]),
+                    pa.array(np.concatenate([mark, gram[new]])),
+                    pa.array(np.concatenate([np.zeros(texts, np.int64), times])),
+                    pa.array(np.concatenate([segment_sums(scores, begins), np.zeros(len(times))])),
+                ],
+                names=["id", "mark", "gram", "times", "score"],
             )
 
 
+def backed_off(unknown: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """Rows (gram, log) for grams without a leaf: each decision at its longest known context."""
+    rows = unknown.select("gram").distinct()
+    rows = rows.select("gram", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    rows = rows.select(
+        "gram", "k", F.expr("shiftright(gram, 7 - k) & 1L = 1L").alias("one"),
+        F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"),
+    )
+    context = F.expr("shiftright(gram, 8) & (shiftleft(1L, 8 * depth) - 1L)")
+    node = F.shiftleft(context, 8).bitwiseOR(F.expr("shiftright(gram & 255L | 256L, 8 - k)"))
+    met = rows.withColumn("node", node).join(nodes, ["depth", "node"], "left")
+    best = F.max(F.when(F.col("logit").isNotNull(), F.struct("depth", "logit")))
+    logit = F.coalesce(best["logit"], F.lit(0.0)).alias("logit")
+    bits = met.groupBy("gram", "k", "one").agg(logit)
+    signed = F.when(F.col("one"), -F.col("logit")).otherwise(F.col("logit"))
+    log = -(F.greatest(signed, F.lit(0.0)) + F.log1p(F.exp(-F.abs(signed)))) / math.log(10)
+    return bits.groupBy("gram").agg(F.sum(log).alias("log"))
+
+
 def _token_batches(batches: Iterator[pa.RecordBatch], frequent, scale: float, ends: int) -> Iterator[pa.RecordBatch]:
     """A row for each text with the sums over frequent words, and one for each other word in it."""
     keys, counts = frequent.value
@@ -316,25 +345,19 @@ def _token_batches(batches: Iterator[pa.RecordBatch], frequent, scale: float, en
             )
 
 
-def blocks_of(nodes: DataFrame, depth: int, block_nodes: int) -> Iterator[Nodes]:
-    """The tree in blocks by the last two context bytes; short contexts are in every block."""
-    spark = nodes.sparkSession
-    deep = F.col("depth") > 1
-    number = max(1, math.ceil(nodes.where(deep).count() / block_nodes))
-    last = F.shiftright("node", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
+def blocks_of(table: DataFrame, block_leaves: int) -> Iterator[Leaves]:
+    """The leaves in blocks by the last two context bytes."""
+    spark = table.sparkSession
+    number = max(1, math.ceil(table.count() / block_leaves))
+    last = F.shiftright("leaf", 7).bitwiseAND(F.lit(0xFFFF).cast("long"))
     at = lambda two: F.pmod(F.xxhash64(two), F.lit(number))
-    pairs = spark.range(1 << 16).select("id", at(F.col("id")).alias("block")).toPandas()
+    pairs = spark.range(1 << 16).select("id", at(F.col("id")).alias("block")).toArrow()
     owner = np.zeros(1 << 16, np.int64)
-    owner[pairs["id"]] = pairs["block"]
+    owner[pairs.column("id").to_numpy()] = pairs.column("block").to_numpy()
     for block in range(number):
-        rows = nodes.where(~deep | (at(last) == block)).toArrow()
-        levels = []
-        for d in range(depth + 1):
-            own = rows.filter(pc.equal(rows.column("depth"), d))
-            keys = own.column("node").to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            levels.append((keys[order], own.column("logit").to_numpy()[order]))
-        yield Nodes(levels, owner == block, depth)
+        rows = table.where(at(last) == block).toArrow()
+        values = np.stack([rows.column("zero").to_numpy(), rows.column("one").to_numpy()], axis=1)
+        yield Leaves(rows.column("leaf").to_numpy().view(np.uint64), values, owner == block)
 
 
 def score(
@@ -342,7 +365,7 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     depth: int = DEPTH,
-    block_nodes: int = BLOCK_NODES,
+    block_leaves: int = BLOCK_LEAVES,
     frequent_words: int = FREQUENT_WORDS,
 ) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score) for all texts.
@@ -351,9 +374,10 @@ def score(
     their words and byte grams are counted in the tasks and summed by a shuffle. ``base_score``
     is the log10 probability under smoothed word counts, ``score`` that of the byte model for the
     same words and ends. Words are counted by their 64-bit hash. The counts of at most
-    ``frequent_words`` words and the tree in blocks of about ``block_nodes`` nodes are broadcast;
-    all other words meet their counts in a join, and the sums of the blocks are added, so no
-    count and no node is left out at any size.
+    ``frequent_words`` words and the leaves of the tree in blocks of about ``block_leaves`` are
+    broadcast. All other words meet their counts in a join, grams without a leaf meet the nodes
+    of shorter contexts in another, and the sums of the blocks are added, so no count and no node
+    is left out at any size.
 
     Null text counts as empty (one end token); a null id counts as empty text in the split. Rows
     with equal id and text have equal results, one for each. Without training rows every bit has
@@ -397,13 +421,18 @@ def score(
             F.lit(0.0).alias("score"),
         )
     ]
-    none = [F.lit(0).cast("long").alias(n) for n in ("rows", "n_tokens", "n_known")]
-    for block in blocks_of(nodes, depth, block_nodes):
+    scored = []
+    for block in blocks_of(settled(leaves(nodes, depth), "ctw-leaves"), block_leaves):
         sent = spark.sparkContext.broadcast(block)
-        scored = marked.mapInArrow(
-            partial(_score_batches, block=sent, depth=depth), f"id {id_type}, mark long, score double"
-        )
-        parts.append(scored.select("id", "mark", *none, F.lit(0.0).alias("base_score"), "score"))
+        own = partial(_score_batches, block=sent, depth=depth)
+        scored.append(marked.mapInArrow(own, f"id {id_type}, mark long, gram long, times long, score double"))
+    scored = settled(reduce(DataFrame.unionByName, scored), "lm-scores")
+    none = [F.lit(0).cast("long").alias(n) for n in ("rows", "n_tokens", "n_known")]
+    none.append(F.lit(0.0).alias("base_score"))
+    unknown = scored.where("times > 0")
+    late = unknown.join(backed_off(unknown, nodes, depth), "gram")
+    parts.append(scored.where("times = 0").select("id", "mark", *none, "score"))
+    parts.append(late.select("id", "mark", *none, (F.col("times") * F.col("log")).alias("score")))
     names = ["rows", "n_tokens", "n_known", "base_score", "score"]
     sums = reduce(DataFrame.unionByName, parts).groupBy("id", "mark").agg(*[F.sum(n).alias(n) for n in names])
     each = [(F.col(n) / F.col("rows")).cast(kind).alias(n) for n, kind in zip(names[1:], ("long", "long", "double", "double"))]
