@@ -175,7 +175,6 @@ class Page:
                 return
 
     def _cut(self, depth: int) -> None:
-        self._flush()
         self._links -= sum(n.tag == "a" for n in self._open[depth:])
         del self._open[depth:]
 
