@@ -38,9 +38,10 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = rollup.pattern_count("text", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     store = rollup.Store(spark, shared_path(spark, "token-counts")).create()
     store.commit("1 documents", rollup.measured(docs, {"words": words, "plain": plain}))
-    poor = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    poor = labels.where("quality = 0").select(F.col("doc_id").cast("string").alias("doc_id"))
+    anew = rollup.measured(docs, {"words": plain}).join(poor, "doc_id", "left_semi")
     for _ in range(2):
-        store.commit("2 poor documents", rollup.measured(poor, {"words": plain}))
+        store.commit("2 poor documents", anew)
     store.commit("3 toxic documents", rollup.removed(labels.where("toxic = 1")))
     return store.totals().withColumnRenamed("version", "tokenizer_version")
 

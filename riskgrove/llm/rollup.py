@@ -14,7 +14,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskgrove.llm.common import quoted, text_of
+from riskgrove.llm.common import quoted, settled, text_of
 
 LEDGER = "batch string, attempt string, doc_id string, source string, lang string, version string, docs long, tokens long"
 DELTAS = "batch string, attempt string, source string, lang string, version string, docs long, tokens long"
@@ -91,7 +91,7 @@ class Store:
         changes = changes.where(F.col("doc_id").isNotNull())
         value = F.struct(F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"), "source", "lang")
         puts = changes.where("op = 'put' AND version IS NOT NULL")
-        puts = puts.groupBy("doc_id", "version").agg(F.max(value).alias("v"))
+        puts = settled(puts.groupBy("doc_id", "version").agg(F.max(value).alias("v")), "token-puts")
         new = puts.select("doc_id", "v.source", "v.lang", "version", F.lit(1).cast("long").alias("docs"), "v.tokens")
 
         gone = changes.where("op = 'delete'").select("doc_id").distinct()
