@@ -175,7 +175,7 @@ def davies_bouldin(spark, sf_dir):
     return rounded(C.davies_bouldin(scaled(spark, sf_dir), VECTOR, "cluster"), 4)
 
 
-_SAMPLE = 1500
+_SAMPLE = 5000
 
 
 @register(

@@ -53,7 +53,7 @@ def preview(spark, sf_dir):
 
 
 # The risk levels and the diversity bins leave some rows without a label.
-_LEVELED = ", leveled AS (SELECT risk, diversity, CASE WHEN diversity > 0 AND diversity <= 35 THEN 'low' END AS low_diversity FROM jobs) "
+_LEVELED = f", leveled AS (SELECT {', '.join(JOBS_COLUMNS)}, CASE WHEN diversity > 0 AND diversity <= 35 THEN 'low' END AS low_diversity FROM jobs) "
 
 
 @register(
@@ -63,12 +63,12 @@ _LEVELED = ", leveled AS (SELECT risk, diversity, CASE WHEN diversity > 0 AND di
         + " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, "
             f"round_even((count(*) - count({c})) * 100e0 / count(*), 2) AS missing_pct FROM leveled"
-            for c in ("risk", "diversity", "low_diversity")
+            for c in (*JOBS_COLUMNS, "low_diversity")
         )
     ),
 )
 def missing_report(spark, sf_dir):
-    rows = jobs(spark, sf_dir, "risk", "diversity").withColumn(
+    rows = jobs(spark, sf_dir, *JOBS_COLUMNS).withColumn(
         "low_diversity", cut("diversity", [0, 35], ["low"])
     )
     return P.missing_report(rows)
@@ -111,19 +111,16 @@ def describe_categorical(spark, sf_dir):
     return P.describe_categorical(jobs(spark, sf_dir, *cols), cols)
 
 
-_DUPLICATED = ["industry", "job_status", "ai_impact", "remote", "diversity", "experience"]
-
-
 @register(
     "p07_duplicates",
     over_jobs(
-        f""", copies AS (SELECT {', '.join(_DUPLICATED)}, count(*) AS n FROM jobs GROUP BY ALL)
+        f""", copies AS (SELECT {', '.join(JOBS_COLUMNS)}, count(*) AS n FROM jobs GROUP BY ALL)
         SELECT CAST(sum(n) - count(*) AS BIGINT) AS duplicates,
                round_even((sum(n) - count(*)) * 100e0 / sum(n), 2) AS duplicate_pct FROM copies"""
     ),
 )
 def duplicates(spark, sf_dir):
-    return P.duplicates(jobs(spark, sf_dir, *_DUPLICATED))
+    return P.duplicates(jobs(spark, sf_dir, *JOBS_COLUMNS))
 
 
 @register("p08_describe_target", _describe_sql([S.TARGET], 4))

@@ -54,15 +54,15 @@ _SETS = ", ".join(
 )
 ITEMSETS = (
     _LEVELED
-    + f""", grouped AS (SELECT list_sort(list_filter([{', '.join(_ITEM_SQL)}], lambda x: x IS NOT NULL)) AS items,
+    + f""", grouped AS MATERIALIZED (SELECT list_sort(list_filter([{', '.join(_ITEM_SQL)}], lambda x: x IS NOT NULL)) AS items,
         count(*) AS n FROM leveled GROUP BY GROUPING SETS ({_SETS})),
     total AS (SELECT count(*) AS total FROM leveled),
-    itemsets AS (SELECT items, len(items) AS length, n, n * 1e0 / total AS support FROM grouped, total
+    itemsets AS MATERIALIZED (SELECT items, len(items) AS length, n, n * 1e0 / total AS support FROM grouped, total
                  WHERE n * 1e0 / total >= {MIN_SUPPORT}e0 AND len(items) = len(list_distinct(items)))"""
 )
 RULES = (
     ITEMSETS
-    + """, halves AS (SELECT s.items, s.support, a.items AS antecedents, a.support AS antecedent_support
+    + """, halves AS MATERIALIZED (SELECT s.items, s.support, a.items AS antecedents, a.support AS antecedent_support
         FROM itemsets s JOIN itemsets a ON len(a.items) < len(s.items) AND list_has_all(s.items, a.items)),
     pairs AS (SELECT h.*, c.items AS consequents, c.support AS consequent_support
         FROM halves h JOIN itemsets c ON len(c.items) = len(h.items) - len(h.antecedents)
@@ -70,7 +70,7 @@ RULES = (
     lev AS (SELECT *, support / antecedent_support AS confidence,
         support / (antecedent_support * consequent_support) AS lift,
         support - antecedent_support * consequent_support AS leverage FROM pairs),
-    rules AS (SELECT *, 1e0 AS representativity,
+    rules AS MATERIALIZED (SELECT *, 1e0 AS representativity,
         CASE WHEN confidence >= 1 THEN CAST('inf' AS DOUBLE) ELSE (1 - consequent_support) / (1 - confidence) END AS conviction,
         CASE WHEN greatest(support * (1 - antecedent_support), antecedent_support * (consequent_support - support)) = 0 THEN 0e0
              ELSE leverage / greatest(support * (1 - antecedent_support), antecedent_support * (consequent_support - support)) END

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,9 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         _SCRATCH[app] = tempfile.mkdtemp(prefix="riskgrove-")
+        atexit.register(shutil.rmtree, _SCRATCH[app], ignore_errors=True)
     return _SCRATCH[app]
 
 

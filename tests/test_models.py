@@ -34,6 +34,26 @@ def forest(rows):
     return models.fit_forest(rows, FEATURES, models.ForestProfile(trees=3, depth=3))
 
 
+def test_patience_outlasts_a_rise():
+    assert models.best_prefix([3.0, 2.0, 2.5, 1.0, 1.5], 50) == 4
+    assert models.best_prefix([3.0, 2.0, 2.5, 2.4, 1.0], 2) == 2
+    assert models.best_prefix([1.0, 2.0, 3.0], 50) == 1
+
+
+def test_a_shorter_fit_is_a_prefix(rows):
+    fit = lambda n: models.fit_boosted(rows, FEATURES, [2], models.BoostProfile(rounds=n, depth=2, step=0.1)).stages[1]
+    short, long = fit(2), fit(4)
+    assert [t.toDebugString.split("\n", 1)[1] for t in long.trees[:2]] == [t.toDebugString.split("\n", 1)[1] for t in short.trees]
+
+
+def test_long_paths_equal_tabled_ones(rows, boosted, monkeypatch):
+    one, _ = treeshap.tree_shap(boosted, rows.limit(50), FEATURES, CLASSES, "k")
+    one = one.orderBy("k", "class", "feature").toPandas()
+    monkeypatch.setattr(treeshap, "TABLED", 1)
+    two, _ = treeshap.tree_shap(boosted, rows.limit(50), FEATURES, CLASSES, "k")
+    pd.testing.assert_frame_equal(one, two.orderBy("k", "class", "feature").toPandas())
+
+
 def test_probabilities_sum_to_one(rows, boosted, forest):
     for model in (boosted, forest):
         got = models.score(model, rows, CLASSES).toPandas()
