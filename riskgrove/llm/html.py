@@ -50,6 +50,10 @@ UNLIKELY = re.compile(
     r"related|recommend\w*|teaser|login|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words in class or id that say how a page is laid out, not what an element is.
+LAYOUT = ("has-", "with-", "no-", "without-")
+#: Classes and ids of a page's header.
+HEADERS = frozenset("header site-header page-header main-header global-header top-header".split())
 LIKELY = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "li", "dd"))
@@ -153,7 +157,10 @@ class Page:
             return True
         if re.search(r"display\s*:\s*none", named.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes):
             return True
-        return any(UNLIKELY.search(named.get(key, "")) for key in ("class", "id"))
+        words = [w for key in ("class", "id") for w in named.get(key, "").split()]
+        if any(w.lower() in HEADERS for w in words) and not any(n.tag in LIKELY for n in self._open):
+            return True
+        return any(UNLIKELY.search(w) for w in words if not w.lower().startswith(LAYOUT))
 
     def _pop(self, names: set[str], limit: set[str]) -> None:
         for depth in range(len(self._open) - 1, 0, -1):
@@ -205,6 +212,10 @@ def main_text(source: str) -> str:
             score = _score(node)
             if score > most:
                 best, most = node, score
+    up = best
+    while up is not None and up.tag != "article":
+        up = up.parent
+    best = up or best  # a part of an article stands for all of it
     kept = {id(best)}
     if best.parent is not None:
         least = max(10.0, most * 0.2)
@@ -213,7 +224,7 @@ def main_text(source: str) -> str:
                 density = node.linked / node.chars
                 like = _score(node) >= least
                 if node.tag == "p" or node.tag in HEADINGS:
-                    like = like or density < 0.25 and (node.chars > 80 or node.tag in HEADINGS)
+                    like = like or density < 0.25 and (node.chars > 80 or node.tag in HEADINGS) or not node.linked
                 if like:
                     kept.add(id(node))
     out = []

@@ -52,7 +52,7 @@ SPANS_ARROW = pa.list_(
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(rf"[0-9a-f]{{{LEAST['hex']},}}")  # the runs of HEX that are long enough
-_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{NOVEL_LENGTH},}}")
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{NOVEL_LENGTH},}}={{0,2}}")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
 _BEFORE = re.compile(rb"([A-Za-z_][A-Za-z0-9_]{1,63})[ \t]*$")
 _CODE = re.compile(rb"[=(]")
@@ -98,8 +98,9 @@ class Novelty:
         return more / len(own)
 
     def spans(self, text: str, raw: bytes, known: list[tuple[int, str, int]]) -> list[tuple[int, str, int, float]]:
-        """Novel strings behind a sensitive word that no known span covers."""
+        """Novel strings behind a sensitive word, other than whole known spans."""
         low = raw.lower()
+        whole = {(start, end) for start, _, end in known}
         if not any(word.encode() in low for word in SENSITIVE):
             return []
         found = []
@@ -107,7 +108,7 @@ class Novelty:
             start, end = m.span()
             if not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
                 continue
-            if any(a <= start and end <= b for a, _, b in known):
+            if (start, end) in whole:
                 continue
             if not _SENSITIVE.search(text, max(0, start - REACH), start):
                 continue
@@ -164,8 +165,9 @@ def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None
     A span has its kind, start and end in code points (end exclusive) and, if novel, the
     compressed bytes it adds for each byte. Base kinds are found by their patterns, leftmost and
     without overlap for each kind; short matches are dropped. A novel string stands behind a
-    sensitive word, mixes letters and digits, lies in no base span and hardly compresses against
-    the text around it and the identifiers of the whole corpus.
+    sensitive word, mixes letters and digits, is not itself a base span and hardly compresses
+    against the text around it and the identifiers of the whole corpus. The value of an
+    assignment can be novel: its span then lies in that of the assignment.
 
     Null and empty texts have no spans. Equal texts have equal spans. Spans are sorted by start,
     then kind. An empty table gives an empty table.
