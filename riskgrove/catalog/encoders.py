@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskgrove.catalog.features import CODES_SQL, DERIVED_SQL
 from riskgrove.catalog.profiles import split_jobs, split_sql
 from riskgrove.catalog.registry import (
-    GROWTH_SQL,
     RISK_CODE_SQL,
     over_jobs,
     r,
@@ -89,29 +89,48 @@ def one_hot(spark, sf_dir):
     return E.one_hot(jobs(spark, sf_dir, "row_id", *DUMMIES), DUMMIES)
 
 
-def _scale_sql(cols: list[str], source: str, fitted: str) -> str:
-    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
-    scaled = ", ".join(r(f"({c} - m_{c}) / s_{c}") + f" AS {c}" for c in cols)
-    return f", fit AS (SELECT {stats} FROM {fitted}) SELECT row_id, {scaled} FROM {source}, fit"
+# The whole prepared matrix as CTE ``matrix``.
+FEATURES = feature_names(_LEVELS)
+SCALED = [c for c in FEATURES if not any(c.startswith(f"{d}_") for d in DUMMIES)]
+_COLUMN_SQL = {
+    **{c: f"split_rows.{c}" for c in S.NUMERIC},
+    **{c: f"coalesce({sql}, 0)" for c, sql in DERIVED_SQL.items()},
+    "salary_zscore": "coalesce((salary - z.m) / z.sd, 0)",
+    **{c: f"coalesce({sql}, 0)" for c, sql in CODES_SQL.items()},
+    "job_title_encoded": "coalesce(encoded, prior)",
+    **{f"{c}_{x}": f"CASE WHEN {c} = '{x}' THEN 1 ELSE 0 END" for c in DUMMIES for x in _LEVELS[c][1:]},
+}
+MATRIX_SQL = (
+    split_sql(RISK_CODE_SQL)
+    + _ENCODING
+    + ", z AS (SELECT avg(salary) AS m, stddev_samp(salary) AS sd FROM train), matrix AS (SELECT row_id, label, split, "
+    + ", ".join(f'{_COLUMN_SQL[c]} AS "{c}"' for c in FEATURES)
+    + " FROM split_rows LEFT JOIN enc USING (job_title), prior, z) "
+)
+_DOUBLES = {"salary", "remote", "diversity", "salary_zscore", "job_title_encoded", *DERIVED_SQL}
+ROUNDED_SQL = ", ".join(r(f'"{c}"') + f' AS "{c}"' if c in _DOUBLES else f'"{c}"' for c in FEATURES)
 
 
-@register(
-    "k11_standardise_on_train",
-    over_jobs(
-        split_sql(RISK_CODE_SQL)
-        + _scale_sql(["salary", "remote", "experience"], "split_rows", "(SELECT * FROM split_rows WHERE split = 'train')")
-    ),
-)
+def _scale_sql(cols: list[str], fitted: str) -> str:
+    stats = ", ".join(f'avg("{c}") AS m{i}, stddev_pop("{c}") AS s{i}' for i, c in enumerate(cols))
+    scale = lambda i: f"CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END"
+    scaled = ", ".join(r(f'("{c}" - m{i}) / {scale(i)}') + f' AS "{c}"' for i, c in enumerate(cols))
+    return MATRIX_SQL + f", fit AS (SELECT {stats} FROM {fitted}) SELECT row_id, {scaled} FROM matrix, fit"
+
+
+@register("k11_standardise_on_train", over_jobs(_scale_sql(SCALED, "(SELECT * FROM matrix WHERE split = 'train')")))
 def standardise_on_train(spark, sf_dir):
-    cols = ["salary", "remote", "experience"]
-    rows = split_jobs(spark, sf_dir, *cols)
-    scaled = E.standardise(rows, cols, fit_on=rows.where(F.col("split") == "train"))
-    return rounded(scaled.select("row_id", *cols))
+    """All columns but the dummies, by the training rows."""
+    ready = prepare(jobs(spark, sf_dir))
+    cols = ready.scaled_features
+    return rounded(E.standardise(ready.rows, cols, fit_on=ready.train).select("row_id", *cols))
 
 
-@register("k12_standardise_all", over_jobs(_scale_sql(S.NUMERIC, "jobs", "jobs")))
+@register("k12_standardise_all", over_jobs(_scale_sql(FEATURES, "matrix")))
 def standardise_all(spark, sf_dir):
-    return rounded(E.standardise(jobs(spark, sf_dir, "row_id", *S.NUMERIC), S.NUMERIC))
+    """The whole matrix, dummies too, by all rows."""
+    ready = prepare(jobs(spark, sf_dir))
+    return rounded(E.standardise(ready.rows, ready.features).select("row_id", *ready.features))
 
 
 @register(
@@ -137,39 +156,33 @@ def feature_list(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
 
 
-@register(
-    "x10_feature_matrix",
-    over_jobs(
-        split_sql(RISK_CODE_SQL)
-        + _ENCODING
-        + f""", s AS (SELECT avg(salary) AS m, stddev_samp(salary) AS sd FROM train)
-        SELECT row_id, label, split, {r('salary')} AS salary, openings_now, {r(GROWTH_SQL)} AS growth_rate,
-               {r('(salary - m) / sd')} AS salary_zscore, {r('coalesce(encoded, prior)')} AS job_title_encoded,
-               CASE WHEN industry = 'LARGE' THEN 1 ELSE 0 END AS "industry_LARGE"
-        FROM split_rows LEFT JOIN enc USING (job_title), prior, s"""
-    ),
-)
+@register("x10_feature_matrix", over_jobs(MATRIX_SQL + f"SELECT row_id, label, split, {ROUNDED_SQL} FROM matrix"))
 def feature_matrix(spark, sf_dir):
     ready = prepare(jobs(spark, sf_dir))
-    cols = ["salary", "openings_now", "growth_rate", "salary_zscore", "job_title_encoded", "industry_LARGE"]
-    return rounded(ready.rows.select("row_id", "label", "split", *cols))
+    return rounded(ready.rows.select("row_id", "label", "split", *ready.features))
 
 
 _MI_FEATURES = [*S.NUMERIC, "salary_per_experience"]
 
 
-@register(
-    "l10_mutual_information",
-    over_jobs(
-        f""", wide AS (SELECT *, salary / (experience + 1) AS salary_per_experience, {RISK_CODE_SQL} AS label FROM jobs),
-        long AS ({sql_long(_MI_FEATURES, 'label', 'wide')}),
+def _information_sql(long: str) -> str:
+    """CTE ``info`` from the text of an unpivot into (label, column, value)."""
+    return f""", long AS ({long}),
         e AS (SELECT "column", quantile_cont(value, [{', '.join(str(i / 10) for i in range(1, 10))}]) AS edges
               FROM long GROUP BY "column"),
         b AS (SELECT "column", label, len(list_filter(edges, lambda x: x < value)) AS bin FROM long JOIN e USING ("column")),
         j AS (SELECT "column", bin, label, count(*) * 1e0 AS n FROM b GROUP BY ALL),
         w AS (SELECT *, sum(n) OVER (PARTITION BY "column", bin) AS nb, sum(n) OVER (PARTITION BY "column", label) AS nl,
-                     sum(n) OVER (PARTITION BY "column") AS total FROM j)
-        SELECT "column" AS feature, {r('sum(n / total * ln(n * total / (nb * nl)))', 9)} AS mutual_info FROM w GROUP BY "column" """
+                     sum(n) OVER (PARTITION BY "column") AS total FROM j),
+        info AS (SELECT "column" AS feature, sum(n / total * ln(n * total / (nb * nl))) AS mi FROM w GROUP BY "column") """
+
+
+@register(
+    "l10_mutual_information",
+    over_jobs(
+        f", wide AS (SELECT *, salary / (experience + 1) AS salary_per_experience, {RISK_CODE_SQL} AS label FROM jobs)"
+        + _information_sql(sql_long(_MI_FEATURES, "label", "wide"))
+        + f"SELECT feature, {r('mi', 9)} AS mutual_info FROM info"
     ),
 )
 def mutual_info(spark, sf_dir):
@@ -180,7 +193,19 @@ def mutual_info(spark, sf_dir):
     return found.withColumn("mutual_info", settled("mutual_info", 9))
 
 
-@register("l10_top_information")
+@register(
+    "l10_top_information",
+    over_jobs(
+        MATRIX_SQL
+        + _information_sql(
+            " UNION ALL ".join(
+                f"""SELECT label, '{c}' AS "column", CAST("{c}" AS DOUBLE) AS value FROM matrix WHERE split = 'train'"""
+                for c in FEATURES
+            )
+        )
+        + f"SELECT feature, {r('mi')} AS mutual_info FROM info ORDER BY mi DESC, feature LIMIT 10"
+    ),
+)
 def top_information(spark, sf_dir):
     ready = prepare(jobs(spark, sf_dir, heavy=True))
     found = mutual_information(ready.train, ready.features, "label")

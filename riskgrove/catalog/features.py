@@ -45,6 +45,9 @@ _DERIVED = {
 }
 
 
+DERIVED_SQL = {name: sql for name, _, sql in _DERIVED.values()}
+
+
 def _register_derived(code: str, name: str, inputs: list[str], sql: str) -> None:
     # Only the inputs are read, so the other interactions' columns need not exist.
     def build(spark, sf_dir):
@@ -181,6 +184,9 @@ _ORDERS = {
 }
 
 
+CODES_SQL = {column: sql for column, _, sql in _ORDERS.values()}
+
+
 def _register_code(name, column, inputs, sql) -> None:
     def build(spark, sf_dir):
         rows = jobs(spark, sf_dir, "row_id", *inputs)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from riskgrove.catalog.attribution import shap_table, _SHAP
 from riskgrove.catalog.clusters import labelled, _LABELLED
-from riskgrove.catalog.profiles import split_jobs, split_sql
+from riskgrove.catalog.encoders import FEATURES, MATRIX_SQL, ROUNDED_SQL
 from riskgrove.catalog.registry import RISK_CODE_SQL, over_jobs, r, register, rounded
 from riskgrove.catalog.rules import _BASKETS, _baskets
 from riskgrove.operators.common import distinct_levels
+from riskgrove.plans.prepare import prepare
 from riskgrove.session import shared_path
 from riskgrove.sources import files as IO, schema as S
 from riskgrove.sources.tables import jobs
@@ -41,21 +42,17 @@ def read_raw(spark, sf_dir):
 
 def _write_prepared(spark, sf_dir) -> str:
     path = shared_path(spark, "prepared")
-    rows = split_jobs(spark, sf_dir, "salary", "remote")
-    IO.write_table(rows.select("row_id", "label", "split", "salary", "remote"), path)
+    IO.write_table(prepare(jobs(spark, sf_dir)).rows, path)
     return path
 
 
 @register(
     "io02_read_features",
-    over_jobs(
-        split_sql(RISK_CODE_SQL)
-        + f"SELECT row_id, {r('salary')} AS salary, {r('remote')} AS remote FROM split_rows WHERE split = 'test'"
-    ),
+    over_jobs(MATRIX_SQL + f"SELECT row_id, {ROUNDED_SQL} FROM matrix WHERE split = 'test'"),
 )
 def read_features(spark, sf_dir):
     rows = IO.read_table(spark, _write_prepared(spark, sf_dir))
-    return rounded(rows.where(F.col("split") == "test").select("row_id", "salary", "remote"))
+    return rounded(rows.where(F.col("split") == "test").select("row_id", *FEATURES))
 
 
 @register("io03_read_target", over_jobs(f"SELECT {RISK_CODE_SQL} AS label FROM jobs"))

@@ -51,7 +51,7 @@ DIVERSITY_EDGES = [0, 35, 50, 65, 100]
 DIVERSITY_ITEMS = ["Diversity_Low", "Diversity_Med", "Diversity_High", "Diversity_VHigh"]
 GROWTH_EDGES = [-INF, -0.3, 0, 0.3, 1, INF]
 GROWTH_LEVELS = ["SevereDecline", "ModerateDecline", "Stable", "ModerateGrowth", "HighGrowth"]
-GROWTH_LABELS = ["sharp cut", "slight cut", "steady", "slight rise", "sharp rise"]
+GROWTH_LABELS = ["大幅缩减", "小幅缩减", "平稳", "小幅增长", "大幅增长"]
 
 # Ordinal codes and item names. Education is spelled with U+2019 in the data.
 EDUCATION_ORDER = [
