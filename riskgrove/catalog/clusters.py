@@ -6,6 +6,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from riskgrove.catalog.models import prepared
 from riskgrove.catalog.registry import over_jobs, r, register, rounded, sql_text
 from riskgrove.functions.binning import cut
 from riskgrove.operators import cluster as C, crosstab as A, select as Q
@@ -213,14 +214,18 @@ def cluster_bundle(spark, sf_dir):
 
 # --- fitted on the data ---
 
-_FEATURES = [*S.NUMERIC]
-SWEEP = [2, 3, 4]
+SWEEP = [*range(2, 11)]
+MIXTURES = [*range(2, 8)]
 
 
 def vectors(spark, sf_dir, *keep: str):
-    """Standardised vectors; fits pass over them many times."""
-    rows = jobs(spark, sf_dir, *dict.fromkeys([*keep, *_FEATURES]), heavy=True)
-    return C.scaled_vectors(rows, _FEATURES, list(keep))
+    """The whole prepared matrix as standardised vectors; fits pass over them many times."""
+    ready = prepared(spark, sf_dir)
+    return C.scaled_vectors(ready.rows, ready.features, list(keep))
+
+
+def _dims(spark, sf_dir) -> int:
+    return len(prepared(spark, sf_dir).features)
 
 
 @register("c01_pca_scores")
@@ -250,7 +255,7 @@ def pca_by_risk(spark, sf_dir):
 def kmeans_sweep(spark, sf_dir):
     data = vectors(spark, sf_dir).persist()
     try:
-        return C.kmeans_sweep(data, SWEEP, seeds=[42, 43], max_iter=6, dims=len(_FEATURES))
+        return C.kmeans_sweep(data, SWEEP, seeds=[42, 43], max_iter=6, dims=_dims(spark, sf_dir))
     finally:
         data.unpersist()
 
@@ -260,7 +265,7 @@ def best_clustering(spark, sf_dir):
     data = vectors(spark, sf_dir, "row_id")
     kept = data.persist()
     try:
-        table = C.kmeans_sweep(kept, SWEEP, seeds=[42], max_iter=5, dims=len(_FEATURES))
+        table = C.kmeans_sweep(kept, SWEEP, seeds=[42], max_iter=5, dims=_dims(spark, sf_dir))
         best = Q.best_row(table, "silhouette").first()["k"]
         model = C.fit_kmeans(kept, best, seeds=[42], max_iter=10)
     finally:
@@ -279,7 +284,7 @@ def squared_silhouette(spark, sf_dir):
 def gmm_sweep(spark, sf_dir):
     data = vectors(spark, sf_dir).persist()
     try:
-        return C.gmm_sweep(data, [2, 3], max_iter=10)
+        return C.gmm_sweep(data, MIXTURES, max_iter=10)
     finally:
         data.unpersist()
 
@@ -289,7 +294,8 @@ def gmm_labels(spark, sf_dir):
     data = vectors(spark, sf_dir, "row_id")
     kept = data.persist()
     try:
-        model = C.fit_gmm(kept, 2, max_iter=10)
+        best = Q.best_row(C.gmm_sweep(kept, MIXTURES, max_iter=10), "bic", largest=False).first()["k"]
+        model = C.fit_gmm(kept, best, max_iter=10)
     finally:
         kept.unpersist()
     return model.transform(data).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))

@@ -29,6 +29,9 @@ CLASSES = S.RISK_CODES
 SCORES = {0: "p0", 1: "p1", 2: "p2"}
 _KEPT: dict[tuple, object] = {}
 
+#: The grid; leaves follow from depth, so the published limit of leaves is not a parameter.
+GRID = {"depth": [3, 4], "min_child": [20, 50], "step": [0.05, 0.1]}
+
 
 def _once(spark, sf_dir, what, make):
     key = (spark.sparkContext.applicationId, sf_dir, what)
@@ -66,6 +69,44 @@ def forest(spark, sf_dir):
     return _once(spark, sf_dir, "forest", lambda: L.fit_forest(ready.train, ready.features, L.SMALL_FOREST))
 
 
+def _fit(features, train, point, base=L.BoostProfile(rounds=1, depth=3, step=0.1)):
+    settings = {**base.__dict__, **{k: v for k, v in point.items()}}
+    return L.fit_boosted(train, features, CLASSES, L.BoostProfile(**settings))
+
+
+def _folded(spark, sf_dir, k):
+    """The training rows with folds, written once: every trial filters the same folds."""
+
+    def make():
+        path = shared_path(spark, "folds")
+        train = prepared(spark, sf_dir).train
+        IO.write_table(V.stratified_folds(train, "label", "row_id", k), path)
+        return spark.read.parquet(path)
+
+    return _once(spark, sf_dir, f"folds {k}", make)
+
+
+def searched(spark, sf_dir):
+    """The table of the grid and its best point."""
+
+    def make():
+        fit = partial(_fit, prepared(spark, sf_dir).features)
+        return T.grid_search(_folded(spark, sf_dir, 3), fit, GRID, 3, CLASSES, parallelism=8)
+
+    return _once(spark, sf_dir, "grid", make)
+
+
+def tuned(spark, sf_dir):
+    """The boosted ensemble of the best grid point, fitted to all training rows."""
+
+    def make():
+        ready = prepared(spark, sf_dir)
+        profile = L.BoostProfile(**{**L.SMALL_BOOST.__dict__, **searched(spark, sf_dir)[1]})
+        return L.fit_boosted(ready.train, ready.features, CLASSES, profile, key="row_id")
+
+    return _once(spark, sf_dir, "tuned", make)
+
+
 _OUT = ["row_id", "label", "p0", "p1", "p2", "prediction"]
 
 
@@ -87,11 +128,11 @@ def forest_scores(spark, sf_dir):
 @register("l04_scores_full")
 def scores_full(spark, sf_dir):
     rows = prepared(spark, sf_dir).rows
-    return L.score(boosted(spark, sf_dir), rows, CLASSES).select("split", *_OUT)
+    return L.score(tuned(spark, sf_dir), rows, CLASSES).select("split", *_OUT)
 
 
 def _importances(spark, sf_dir):
-    model = boosted(spark, sf_dir)
+    model = tuned(spark, sf_dir)
     return L.importances(L.tree_nodes(model, CLASSES, spark), prepared(spark, sf_dir).features)
 
 
@@ -128,7 +169,7 @@ def fitted_models(spark, sf_dir):
 
 @register("l08_fitted_high_risk_list")
 def fitted_high_risk_list(spark, sf_dir):
-    scored = L.score(boosted(spark, sf_dir), prepared(spark, sf_dir).rows, CLASSES)
+    scored = L.score(tuned(spark, sf_dir), prepared(spark, sf_dir).rows, CLASSES)
     raw = jobs(spark, sf_dir, "row_id", "job_title", "industry", "ai_impact", "risk")
     high = scored.where(F.col("prediction") == 2).select(
         "row_id",
@@ -139,39 +180,17 @@ def fitted_high_risk_list(spark, sf_dir):
     return raw.join(high, "row_id").orderBy(F.desc("high_prob"), "row_id")
 
 
-def _fit(features, train, point, base=L.BoostProfile(rounds=1, depth=3, step=0.1)):
-    settings = {**base.__dict__, **{k: v for k, v in point.items()}}
-    return L.fit_boosted(train, features, CLASSES, L.BoostProfile(**settings))
-
-
-def _folded(spark, sf_dir, k):
-    """The training rows with folds, written once: every trial filters the same folds."""
-
-    def make():
-        path = shared_path(spark, "folds")
-        train = prepared(spark, sf_dir).train
-        IO.write_table(V.stratified_folds(train, "label", "row_id", k), path)
-        return spark.read.parquet(path)
-
-    return _once(spark, sf_dir, f"folds {k}", make)
-
-
 @register("v04_grid_search")
 def grid_search(spark, sf_dir):
-    features = prepared(spark, sf_dir).features
-    grid = {"depth": [2, 3], "min_child": [20]}
-    table, _ = T.grid_search(
-        _folded(spark, sf_dir, 3), partial(_fit, features), grid, 3, CLASSES, parallelism=4
-    )
-    return table
+    return searched(spark, sf_dir)[0]
 
 
 @register("v05_cross_validation")
 def cross_validation(spark, sf_dir):
-    features = prepared(spark, sf_dir).features
-    return T.cross_validate(
-        _folded(spark, sf_dir, 5), partial(_fit, features), 5, CLASSES, point={"depth": 2}, parallelism=4
-    )
+    """Fold scores of the tuned settings."""
+    fit = partial(_fit, prepared(spark, sf_dir).features)
+    point = searched(spark, sf_dir)[1]
+    return T.cross_validate(_folded(spark, sf_dir, 5), fit, 5, CLASSES, point=point, parallelism=4)
 
 
 def _explained(spark, sf_dir):
@@ -179,7 +198,7 @@ def _explained(spark, sf_dir):
 
     def make():
         long, base = treeshap.tree_shap(
-            boosted(spark, sf_dir), ready.test, ready.features, CLASSES, "row_id"
+            tuned(spark, sf_dir), ready.test, ready.features, CLASSES, "row_id"
         )
         path = shared_path(spark, "shap")
         IO.write_attributions(long, path)
@@ -200,7 +219,7 @@ def additivity(spark, sf_dir):
     long, base = _explained(spark, sf_dir)
     table = spark.createDataFrame(list(zip(CLASSES, base)), "class int, base double")
     sums = long.groupBy("row_id", "class").agg(F.sum("shap").alias("shap"))
-    out = L.margins(boosted(spark, sf_dir), prepared(spark, sf_dir).test, CLASSES)
+    out = L.margins(tuned(spark, sf_dir), prepared(spark, sf_dir).test, CLASSES)
     own = out.select(
         "row_id",
         F.inline(F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"m{k}").alias("margin")) for k in CLASSES])),
@@ -213,7 +232,7 @@ def additivity(spark, sf_dir):
 
 @register("h02_expected_values")
 def expected_values(spark, sf_dir):
-    leaves = treeshap.ensemble_leaves(boosted(spark, sf_dir), CLASSES, spark)
+    leaves = treeshap.ensemble_leaves(tuned(spark, sf_dir), CLASSES, spark)
     base = treeshap.base_values(leaves, len(CLASSES))
     return spark.createDataFrame([(k, float(v)) for k, v in zip(CLASSES, base)], "class int, base double")
 
@@ -225,5 +244,5 @@ def fitted_importance(spark, sf_dir):
 
 @register("h08_fitted_comparison")
 def fitted_comparison(spark, sf_dir):
-    scored = L.score(boosted(spark, sf_dir), prepared(spark, sf_dir).test, CLASSES)
+    scored = L.score(tuned(spark, sf_dir), prepared(spark, sf_dir).test, CLASSES)
     return H.high_low_comparison(_explained(spark, sf_dir)[0], scored)

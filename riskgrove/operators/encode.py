@@ -68,12 +68,13 @@ def standardise(rows: DataFrame, cols: list[str], fit_on: DataFrame | None = Non
         **{f"m{i}": F.avg(c) for i, c in enumerate(cols)},
         **{f"s{i}": F.stddev_pop(c) for i, c in enumerate(cols)},
     )
+    # One column holds the statistics, so the subquery stands in the plan once.
     scaled = {}
     for i, c in enumerate(cols):
-        std = stats.getField(f"s{i}")
+        std = F.col(f"__fit.s{i}")
         scale = F.when(std == 0, 1.0).otherwise(std)
-        scaled[c] = (F.col(c) - stats.getField(f"m{i}")) / scale
-    return rows.withColumns(scaled)
+        scaled[c] = (F.col(c) - F.col(f"__fit.m{i}")) / scale
+    return rows.withColumn("__fit", stats).withColumns(scaled).drop("__fit")
 
 
 def z_score(rows: DataFrame, column: str, out: str, fit_on: DataFrame | None = None) -> DataFrame:
