@@ -164,3 +164,15 @@ def test_roc_is_monotone_and_ends_at_one(spark):
     for side in ("fpr", "tpr"):
         line = [p[side] for p in points]
         assert line == sorted(line) and line[-1] == 1.0
+
+
+def test_split_of_odd_classes(spark):
+    rows = [(i, "a") for i in range(7)] + [(100, "b")] + [(i, None) for i in range(200, 210)]
+    frame = spark.createDataFrame(rows, "k long, label string")
+    got = split.stratified_split(frame, "label", "k").groupBy("label", "split").count().collect()
+    assert {(r["label"], r["split"]): r["count"] for r in got} == {
+        ("a", "test"): 1, ("a", "train"): 6, ("b", "train"): 1, (None, "test"): 2, (None, "train"): 8,
+    }
+    assert split.stratified_split(frame, "label", "k", 1.0).where("split = 'train'").count() == 0
+    assert split.stratified_split(frame, "label", "k", 0.0).where("split = 'test'").count() == 0
+    assert split.stratified_split(frame.limit(0), "label", "k").count() == 0
