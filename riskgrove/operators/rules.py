@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskgrove.functions.columns import item_columns, lookup
+from riskgrove.functions.columns import item_columns
+from riskgrove.session import shared_path
 from riskgrove.sources import schema as S
 
 METRICS = [
@@ -48,54 +49,52 @@ def frequent_itemsets(
 ) -> DataFrame:
     """(items, length, n, support) of every itemset with at least the minimum support.
 
-    Equal baskets are counted once, so later steps work on distinct baskets. Each level
-    extends the frequent sets found inside a basket by its later items and sums the
-    basket counts per extension; partial sums leave only the few extensions to shuffle.
-    A level holds at most ``choose(basket size, length) / min_support`` frequent sets,
-    so its list is small enough for the driver and for a broadcast.
+    Equal baskets are counted once and keep the numbers of their frequent items only. Each level
+    joins the frequent sets with the baskets that hold them, extends them by later items of the
+    basket and sums the basket counts per extension; partial sums leave only the extensions to
+    shuffle. A level is a table in the shared folder, which also settles the numbers of its sets:
+    Spark sees the size of the table and broadcasts it only if small.
     """
-    spark = baskets.sparkSession
     counted = baskets.groupBy("items").agg(F.count("*").alias("w")).persist()
-    try:
-        total = counted.agg(F.sum("w")).first()[0] or 0
-        sums = counted.select(F.explode("items").alias("item"), "w").groupBy("item").agg(
-            F.sum("w").alias("n")
-        )
-        enough = lambda df: df.where(F.col("n") / F.lit(total) >= min_support).collect()
-        level = sorted(((r["item"],), r["n"]) for r in enough(sums)) if total else []
-        found = list(level)
-        names = [items[0] for items, _ in level]
-        codes = {name: code for code, name in enumerate(names)}
-        if names and max_length > 1:
-            coded = F.transform("items", lambda x: lookup(x, codes))
-            inside = counted.select(
-                F.array_sort(F.filter(coded, lambda x: x.isNotNull())).alias("codes"), "w"
-            )
-            grown = inside.select("codes", "w", F.explode("codes").alias("last"), F.lit(-1).alias("prefix"))
-            known = [(-1, code, code) for code in range(len(names))]
-            for _ in range(1, max_length):
-                sets = [items for items, _ in level]
-                table = spark.createDataFrame(known, "prefix int, last int, id int")
-                grown = (
-                    grown.join(F.broadcast(table), ["prefix", "last"])
-                    .select("codes", "w", F.col("last").alias("before"), F.col("id").alias("prefix"), F.explode("codes").alias("last"))
-                    .where(F.col("last") > F.col("before"))
-                    .select("codes", "w", "last", "prefix")
-                )
-                hits = enough(grown.groupBy("prefix", "last").agg(F.sum("w").alias("n")))
-                level = [(sets[h["prefix"]] + (names[h["last"]],), h["n"]) for h in hits]
-                if not level:
-                    break
-                known = [(h["prefix"], h["last"], i) for i, h in enumerate(hits)]
-                found += level
-    finally:
-        counted.unpersist()
-    return spark.createDataFrame(
-        [(list(items), len(items), n, n / total) for items, n in found],
-        "items array<string>, length int, n long, support double",
+    opened = counted.select("items", "w", F.explode(F.array_distinct("items")).alias("item"))
+    total = counted.agg(F.sum("w")).first()[0] or 0
+    enough = lambda sums: sums.where(F.col("n") / F.lit(float(total)) >= min_support)
+    number = F.monotonically_increasing_id()  # grows with the item, as the rows are in its order
+    singles = enough(opened.groupBy("item").agg(F.sum("w").alias("n"))).orderBy("item")
+    singles = _stored(singles.withColumn("last", number), "items")
+    known = opened.join(singles.select("item", "last"), "item").groupBy("items")
+    inside = known.agg(F.array_sort(F.collect_list("last")).alias("basket"), F.first("w").alias("w")).persist()
+    levels = [singles.select(F.col("last").alias("id"), F.array("item").alias("items"), "n")]
+    grown = inside.select("basket", "w", F.explode("basket").alias("id"))
+    grown = grown.withColumn("last", F.col("id"))
+    while len(levels) < max_length and not levels[-1].isEmpty():
+        later = F.explode(F.filter("basket", lambda x: x > F.col("before"))).alias("last")
+        grown = grown.withColumnsRenamed({"id": "prefix", "last": "before"})
+        grown = grown.select("basket", "w", "prefix", later)
+        sums = enough(grown.groupBy("prefix", "last").agg(F.sum("w").alias("n")))
+        longer = F.concat("items", F.array("item")).alias("items")
+        named = sums.join(levels[-1].select(F.col("id").alias("prefix"), "items"), "prefix")
+        named = named.join(singles.select("last", "item"), "last")
+        level = _stored(named.select(number.alias("id"), "prefix", "last", longer, "n"), "itemsets")
+        levels.append(level)
+        grown = grown.join(level.select("prefix", "last", "id"), ["prefix", "last"])
+        grown = grown.select("basket", "w", "id", "last")
+    counted.unpersist()
+    inside.unpersist()
+    found = levels[0].select("items", "n")
+    for level in levels[1:]:
+        found = found.unionByName(level.select("items", "n"))
+    return found.select(
+        "items", F.size("items").alias("length"), "n", (F.col("n") / F.lit(float(total))).alias("support")
     )
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.3) -> DataFrame:
     """Every split of an itemset into antecedents and consequents, with ten measures."""
     known = itemsets.select("items", "support")
