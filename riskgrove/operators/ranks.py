@@ -1,9 +1,10 @@
 """Order statistics and ranks without a sort in one task.
 
 Values are counted first, so a value shared by many rows is one row from there on. They
-are then put into cells by a fixed, increasing function of the value. A running total is
-the total of the cells before plus a running total inside the cell: the table of cells is
-small, and the windows inside cells are spread over all tasks, however large one group is.
+are then put into cells by a fixed, increasing function of the value; cells into which many
+values crowd are cut by their own range. A running total is the total of the cells before plus
+a running total inside the cell: the table of cells is small, and the windows inside cells are
+spread over all tasks, however large one group is.
 The same counted values feed both, so Spark shuffles them once and reuses the result.
 """
 
@@ -15,6 +16,9 @@ SMALL_ROWS = 10_000
 CELL = "__cell"
 FINENESS = 32_768
 
+#: Distinct values that a cell holds before it is cut into parts of about this many.
+CELL_VALUES = 20_000
+
 
 def small_side(small: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """A join side that is expected to be small.
@@ -47,6 +51,28 @@ def value_cell(value: Column, fineness: int = FINENESS) -> Column:
     return F.when(x < 0, -step - 1).otherwise(step)
 
 
+def in_cells(
+    counts: DataFrame, by: list[str], value: str, fineness: int = FINENESS, cell_values: int = CELL_VALUES
+) -> DataFrame:
+    """Add ``__cell``, which never decreases along the value; one input row per group and value.
+
+    The first part of a cell is ``value_cell``. Cells with more than ``cell_values`` values are
+    cut evenly between their least and largest value: the second part. Usually there are none,
+    and adaptive execution drops the join with them.
+    """
+    x = F.col(value).cast("double")
+    placed = counts.withColumn("__rough", value_cell(F.col(value), fineness))
+    keys = [*by, "__rough"]
+    ends = [F.count("*").alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi")]
+    crowded = placed.groupBy(*keys).agg(*ends).where(F.col("__n") > cell_values)
+    crowded = crowded.withColumn("__parts", F.ceil(F.col("__n") / cell_values)).drop("__n")
+    share = F.try_divide(x - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    part = F.least(F.floor(share * F.col("__parts")), F.col("__parts") - 1)
+    cell = F.struct(F.col("__rough").alias("rough"), F.coalesce(part, F.lit(0)).alias("part"))
+    joined = placed.join(crowded, keys, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in counts.columns], cell.alias(CELL))
+
+
 def running_before(
     rows: DataFrame, by: list[str], cell: str, order: list[Column], weights: dict[str, Column]
 ) -> DataFrame:
@@ -79,7 +105,7 @@ def running_counts(
     counts: DataFrame, by: list[str], value: str, weights: dict[str, str], fineness: int = FINENESS
 ) -> DataFrame:
     """Running totals along a numeric value; one input row per group and value."""
-    placed = counts.withColumn(CELL, value_cell(F.col(value), fineness))
+    placed = in_cells(counts, by, value, fineness)
     return running_before(
         placed, by, CELL, [F.col(value)], {n: F.col(c) for n, c in weights.items()}
     )
@@ -130,7 +156,7 @@ def quantiles_of_counts(
     Cell totals tell which cells hold the wanted ranks; only values of those few cells
     are put in order.
     """
-    placed = counts.withColumn(CELL, value_cell(F.col("value"), fineness))
+    placed = in_cells(counts, keys, "value", fineness)
     group = W.partitionBy(*keys)
     cells = (
         placed.groupBy(*keys, CELL)

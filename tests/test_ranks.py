@@ -49,6 +49,35 @@ def test_cells_never_decrease(spark):
     assert cells == sorted(cells)
 
 
+def test_crowded_values_spread_over_cells(spark):
+    """Values far from zero with a small spread: one rough cell, cut by its own range."""
+    rng = np.random.default_rng(2)
+    numbers = 1e9 + rng.uniform(-500, 500, 3000)
+    numbers = np.concatenate([numbers, numbers[:50], [-1e9, 0.0, 5.0]])
+    rows = spark.createDataFrame([(float(v),) for v in numbers], "v double")
+    counts = rows.groupBy("v").agg(F.count("*").alias("ties"))
+    placed = ranks.in_cells(counts, [], "v", cell_values=100)
+    assert counts.select(ranks.value_cell(F.col("v"))).distinct().count() <= 5
+    sizes = [r["count"] for r in placed.groupBy("__cell").count().collect()]
+    assert len(sizes) > 25 and max(sizes) < 300
+    cells = [r["__cell"] for r in placed.orderBy("v").collect()]
+    assert cells == sorted(cells)
+
+
+def test_ranks_and_quantiles_of_crowded_values(spark, monkeypatch):
+    monkeypatch.setattr(ranks.in_cells, "__defaults__", (ranks.FINENESS, 100))
+    rng = np.random.default_rng(4)
+    numbers = np.round(1e9 + rng.uniform(-500, 500, 2000), 1)
+    frame = pd.DataFrame({"g": rng.integers(0, 2, 2000), "v": numbers})
+    rows = spark.createDataFrame(frame)
+    got = {r["v"]: r["avg_rank"] for r in ranks.average_ranks(rows, "v").collect()}
+    assert [got[v] for v in frame.v] == frame.v.rank().tolist()
+    found = ranks.exact_quantiles(rows, ["v"], [0.0, 0.3, 0.5, 1.0], ["g"]).collect()
+    assert len(found) == 8
+    for r in found:
+        assert r["q"] == pytest.approx(float(np.quantile(frame.v[frame.g == r["g"]], r["p"])), rel=1e-14)
+
+
 def test_quantiles_when_one_group_and_one_value_dominate(spark):
     """A third of all rows in one group, most of them one value; extreme outliers."""
     data = [("hot", 7.0)] * 400 + [("hot", float(i)) for i in range(200)]
