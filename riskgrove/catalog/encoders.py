@@ -20,7 +20,8 @@ from riskgrove.operators import encode as E, select as Q
 from riskgrove.operators.common import distinct_levels
 from riskgrove.operators.information import mutual_information
 from riskgrove.plans.prepare import DUMMIES, feature_names, prepare
-from riskgrove.sources import schema as S
+from riskgrove.session import shared_path
+from riskgrove.sources import files as IO, schema as S
 from riskgrove.sources.tables import jobs
 
 _SIGMOID = "1 / (1 + exp(-(n - 20e0) / 10e0))"
@@ -68,6 +69,24 @@ def encoding_lookup(spark, sf_dir):
     return rounded(out.select("row_id", "split", "job_title_encoded"))
 
 
+@register(
+    "io06_saved_encoding",
+    over_jobs(
+        split_sql(RISK_CODE_SQL)
+        + _ENCODING
+        + f"""SELECT row_id, {r('coalesce(encoded, prior)')} AS job_title_encoded
+              FROM split_rows LEFT JOIN enc USING (job_title), prior WHERE split = 'test'"""
+    ),
+)
+def saved_encoding(spark, sf_dir):
+    """Fitted to training rows and saved; test rows are encoded by what was loaded."""
+    path = shared_path(spark, "encoding")
+    IO.write_table(E.fitted_encoding(_train(spark, sf_dir), "job_title", "risk"), path)
+    test = split_jobs(spark, sf_dir, "job_title").where("split = 'test'")
+    out = E.apply_fitted_encoding(test, IO.read_table(spark, path), "job_title", "job_title_encoded")
+    return rounded(out.select("row_id", "job_title_encoded"))
+
+
 # The levels of the two one-hot columns in the given tables, in sorted order.
 _LEVELS = {
     "industry": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
@@ -126,6 +145,19 @@ def standardise_on_train(spark, sf_dir):
     return rounded(E.standardise(ready.rows, cols, fit_on=ready.train).select("row_id", *cols))
 
 
+@register(
+    "io06_saved_scaler",
+    over_jobs(_scale_sql(SCALED, "(SELECT * FROM matrix WHERE split = 'train')") + " WHERE split = 'test'"),
+)
+def saved_scaler(spark, sf_dir):
+    """Fitted to training rows and saved; test rows are scaled by what was loaded."""
+    ready = prepare(jobs(spark, sf_dir))
+    cols, path = ready.scaled_features, shared_path(spark, "scaler")
+    IO.write_table(E.fitted_scaler(ready.train, cols), path)
+    scaled = E.apply_fitted_scaler(ready.test, IO.read_table(spark, path), cols)
+    return rounded(scaled.select("row_id", *cols))
+
+
 @register("k12_standardise_all", over_jobs(_scale_sql(FEATURES, "matrix")))
 def standardise_all(spark, sf_dir):
     """The whole matrix, dummies too, by all rows."""

@@ -10,7 +10,8 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from riskgrove.catalog.registry import register, rounded
+from riskgrove.catalog.profiles import split_sql
+from riskgrove.catalog.registry import RISK_CODE_SQL, over_jobs, register, rounded
 from riskgrove.operators import (
     attribution as H,
     evaluate as M,
@@ -131,6 +132,30 @@ def scores_full(spark, sf_dir):
     return L.score(tuned(spark, sf_dir), rows, CLASSES).select("split", *_OUT)
 
 
+@register(
+    "l04_scores_check",
+    over_jobs(
+        split_sql(RISK_CODE_SQL)
+        + "SELECT split, count(*) AS n, CAST(0 AS BIGINT) AS broken FROM split_rows GROUP BY split"
+    ),
+)
+def scores_check(spark, sf_dir):
+    """Rows of each split, and those whose probabilities don't sum to 1, don't name the predicted
+    class, or differ after the ensemble was saved and loaded."""
+    model, rows, path = tuned(spark, sf_dir), prepared(spark, sf_dir).rows, shared_path(spark, "ensemble")
+    IO.save_model(model, path)
+    again = L.score(IO.load_model(path), rows, CLASSES).select(
+        "row_id", *[F.col(p).alias(f"{p}_again") for p in SCORES.values()]
+    )
+    both = L.score(model, rows, CLASSES).join(again, "row_id", "left")
+    chosen = F.get(F.array(*SCORES.values()), F.col("prediction").cast("int"))
+    good = (F.abs(sum(F.col(p) for p in SCORES.values()) - 1) < 1e-9) & (chosen == F.greatest(*SCORES.values()))
+    for p in SCORES.values():
+        good = good & (F.abs(F.col(p) - F.col(f"{p}_again")) < 1e-12)
+    broken = F.count_if(~F.coalesce(good, F.lit(False))).alias("broken")
+    return both.groupBy("split").agg(F.count("*").alias("n"), broken)
+
+
 def _importances(spark, sf_dir):
     model = tuned(spark, sf_dir)
     return L.importances(L.tree_nodes(model, CLASSES, spark), prepared(spark, sf_dir).features)
@@ -230,6 +255,21 @@ def additivity(spark, sf_dir):
     )
 
 
+@register(
+    "h01_additivity_check",
+    over_jobs(
+        split_sql(RISK_CODE_SQL)
+        + """SELECT CAST(k AS INT) AS class, count(*) AS n, CAST(0 AS BIGINT) AS broken
+             FROM split_rows, (SELECT unnest([0, 1, 2]) AS k) WHERE split = 'test' GROUP BY k"""
+    ),
+)
+def additivity_check(spark, sf_dir):
+    """Test rows of each class, and those whose contributions miss the ensemble's own output."""
+    gap = F.abs(F.col("explained") - F.col("margin"))
+    broken = F.count_if(~F.coalesce(gap < 1e-9, F.lit(False))).alias("broken")
+    return additivity(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"), broken)
+
+
 @register("h02_expected_values")
 def expected_values(spark, sf_dir):
     leaves = treeshap.ensemble_leaves(tuned(spark, sf_dir), CLASSES, spark)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskgrove.operators.common import distinct_levels, one_row
+from riskgrove.operators.common import as_rows, distinct_levels, one_row
 
 
 def target_encoding(
@@ -47,6 +47,22 @@ def apply_target_encoding(
     return joined.withColumn(out, F.coalesce(F.col(out), prior))
 
 
+def fitted_encoding(train: DataFrame, column: str, target: str, **options) -> DataFrame:
+    """``target_encoding`` as one table that can be saved: the row with level null is the overall mean."""
+    overall = train.agg(F.avg(target).alias("encoded"), F.count(target).alias("n"))
+    kind = train.schema[column].dataType
+    return target_encoding(train, column, target, **options).unionByName(
+        overall.withColumn(column, F.lit(None).cast(kind))
+    )
+
+
+def apply_fitted_encoding(rows: DataFrame, fitted: DataFrame, column: str, out: str) -> DataFrame:
+    """Look a saved encoding up; null and unseen levels get the overall mean."""
+    prior = fitted.where(F.col(column).isNull()).agg(F.max("encoded")).scalar()
+    levels = fitted.where(F.col(column).isNotNull()).select(column, F.col("encoded").alias(out))
+    return rows.join(levels, column, "left").withColumn(out, F.coalesce(F.col(out), prior))
+
+
 def one_hot(
     rows: DataFrame, cols: list[str], drop_first: bool = True, levels: dict[str, list] | None = None
 ) -> DataFrame:
@@ -77,6 +93,29 @@ def standardise(rows: DataFrame, cols: list[str], fit_on: DataFrame | None = Non
     return rows.withColumn("__fit", stats).withColumns(scaled).drop("__fit")
 
 
+def fitted_scaler(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, mean, std): what ``standardise`` fits, as a table that can be saved."""
+    records = [{"column": F.lit(c), "mean": F.col(f"m{i}"), "std": F.col(f"s{i}")} for i, c in enumerate(cols)]
+    stats = [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
+    stats += [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]
+    return as_rows(rows.agg(*stats), records)
+
+
+def apply_fitted_scaler(rows: DataFrame, fitted: DataFrame, cols: list[str]) -> DataFrame:
+    """Centre and scale by a saved table; a constant column stays centred."""
+    of = lambda c, what: F.max(F.when(F.col("column") == c, F.col(what)))
+    stats = one_row(
+        fitted,
+        **{f"m{i}": of(c, "mean") for i, c in enumerate(cols)},
+        **{f"s{i}": of(c, "std") for i, c in enumerate(cols)},
+    )
+    scaled = {}
+    for i, c in enumerate(cols):
+        std = F.col(f"__fit.s{i}")
+        scaled[c] = (F.col(c) - F.col(f"__fit.m{i}")) / F.when(std == 0, 1.0).otherwise(std)
+    return rows.withColumn("__fit", stats).withColumns(scaled).drop("__fit")
+
+
 def z_score(rows: DataFrame, column: str, out: str, fit_on: DataFrame | None = None) -> DataFrame:
     """(value - mean) / sample std."""
     stats = one_row(rows if fit_on is None else fit_on, m=F.avg(column), s=F.stddev_samp(column))

@@ -144,6 +144,21 @@ def test_target_encoding_of_unseen_level(spark):
     assert out["zzz"] == pytest.approx(7.5)
 
 
+def test_saved_encoding_and_scaler(spark, tmp_path):
+    train = spark.createDataFrame([("a", 10.0, 5.0)] * 30 + [("b", 0.0, 5.0)] * 10, "t string, y double, c double")
+    encode.fitted_encoding(train, "t", "y").write.parquet(str(tmp_path / "e"))
+    encode.fitted_scaler(train, ["y", "c"]).write.parquet(str(tmp_path / "s"))
+    rows = spark.createDataFrame([("a", 1.0, 5.0), ("zzz", 2.0, 6.0), (None, 3.0, 4.0)], "t string, y double, c double")
+    saved = spark.read.parquet(str(tmp_path / "e"))
+    got = {r["t"]: r["x"] for r in encode.apply_fitted_encoding(rows, saved, "t", "x").collect()}
+    weight = 1 / (1 + math.exp(-1.0))
+    assert got["a"] == pytest.approx(7.5 * (1 - weight) + 10 * weight)
+    assert got["zzz"] == got[None] == pytest.approx(7.5)
+    saved = spark.read.parquet(str(tmp_path / "s"))
+    want = encode.standardise(rows, ["y", "c"], fit_on=train).orderBy("y").collect()
+    assert encode.apply_fitted_scaler(rows, saved, ["y", "c"]).orderBy("y").collect() == want
+
+
 def test_scaling_of_constant_columns(spark):
     rows = spark.createDataFrame([(5.0, 1.0), (5.0, 3.0)], "a double, b double")
     assert [tuple(r) for r in encode.standardise(rows, ["a", "b"]).collect()] == [(0.0, -1.0), (0.0, 1.0)]
