@@ -16,7 +16,9 @@ from riskgrove.operators.ranks import (
     running_counts,
 )
 
-REACH = 9.0  # a Gaussian beyond nine bandwidths adds less than 3e-18 of its peak
+#: Bandwidths that a value reaches by default: a Gaussian beyond nine adds less than 3e-18 of its
+#: peak. ``reach=None`` asks for the full sum.
+REACH = 9.0
 
 
 def histogram(rows: DataFrame, column: str, bins: int, density: bool = False) -> DataFrame:
@@ -57,29 +59,31 @@ def centre_lines(rows: DataFrame, cols: list[str]) -> DataFrame:
     return means.join(medians, "column")
 
 
-def _spread(x: Column, lo: Column, step: Column, h: Column, points: int) -> Column:
+def _spread(x: Column, lo: Column, step: Column, h: Column, points: int, reach: float | None) -> Column:
     """Indexes of the grid points within reach of a value."""
-    first = F.greatest(F.ceil((x - REACH * h - lo) / step), F.lit(0)).cast("int")
-    last = F.least(F.floor((x + REACH * h - lo) / step), F.lit(points - 1)).cast("int")
+    if reach is None:
+        return F.when((step > 0) & (h > 0), F.sequence(F.lit(0), F.lit(points - 1)))
+    first = F.greatest(F.ceil((x - reach * h - lo) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((x + reach * h - lo) / step), F.lit(points - 1)).cast("int")
     return F.when(first <= last, F.sequence(first, last))
 
 
-def kde(rows: DataFrame, column: str, points: int = 1000) -> DataFrame:
+def kde(rows: DataFrame, column: str, points: int = 1000, reach: float | None = REACH) -> DataFrame:
     """Gaussian density with Scott's bandwidth on a grid half a range wider on each side.
 
-    Each distinct value reaches only the grid points within nine bandwidths, so the work
+    Each distinct value reaches only the grid points within ``reach`` bandwidths, so the work
     per value shrinks as the table grows.
     """
     values = rows.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
     stats = one_row(
         values, lo=F.min("x"), hi=F.max("x"), std=F.stddev_samp("x"), n=F.count("x").cast("double")
     )
-    reach = stats.getField("hi") - stats.getField("lo")
-    lo = stats.getField("lo") - 0.5 * reach
-    step = 2.0 * reach / (points - 1)
+    width = stats.getField("hi") - stats.getField("lo")
+    lo = stats.getField("lo") - 0.5 * width
+    step = 2.0 * width / (points - 1)
     h = stats.getField("std") * F.pow(stats.getField("n"), F.lit(-0.2))
     counts = values.groupBy("x").agg(F.count("*").alias("ties"))
-    near = counts.select("x", "ties", F.explode(_spread(F.col("x"), lo, step, h, points)).alias("point"))
+    near = counts.select("x", "ties", F.explode(_spread(F.col("x"), lo, step, h, points, reach)).alias("point"))
     u = (lo + F.col("point") * step - F.col("x")) / h
     mass = near.groupBy("point").agg(F.sum(F.col("ties") * F.exp(-0.5 * u * u)).alias("mass"))
     grid = rows.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
@@ -92,8 +96,9 @@ def kde(rows: DataFrame, column: str, points: int = 1000) -> DataFrame:
 
 
 def kde_groups(
-    rows: DataFrame, cols: list[str], group: str, points: int = 200, cut: float = 3.0
-) -> DataFrame:
+    rows: DataFrame, cols: list[str], group: str, points: int = 200, cut: float = 3.0,
+    reach: float | None = REACH,
+) -> DataFrame:
     """One density per column and group, on its own grid, scaled by the group's share."""
     long = long_form(rows, cols, [group]).where(F.col(group).isNotNull())
     keys = [group, "column"]
@@ -121,7 +126,9 @@ def kde_groups(
         "h",
         "lo",
         "step",
-        F.explode(_spread(F.col("value"), F.col("lo"), F.col("step"), F.col("h"), points)).alias("point"),
+        F.explode(
+            _spread(F.col("value"), F.col("lo"), F.col("step"), F.col("h"), points, reach)
+        ).alias("point"),
     )
     u = (F.col("lo") + F.col("point") * F.col("step") - F.col("value")) / F.col("h")
     mass = near.groupBy(*keys, "point").agg(F.sum(F.col("ties") * F.exp(-0.5 * u * u)).alias("mass"))

@@ -112,6 +112,16 @@ def test_level_counts_keep_empty_levels(spark):
     assert [(r["level"], r["n"], r["pct"]) for r in got] == [("a", 2, 66.67), ("b", 0, 0.0)]
 
 
+def test_reach_of_densities_equals_the_full_sum(spark):
+    rows = spark.range(300).select((F.col("id") * F.col("id") % 97).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
+    near, full = (distributions.kde(rows, "v", 50, reach=r).orderBy("point").collect() for r in (9.0, None))
+    assert [r["density"] for r in near] == pytest.approx([r["density"] for r in full], rel=1e-12, abs=1e-17)
+    near, full = (
+        distributions.kde_groups(rows, ["v"], "g", 40, reach=r).orderBy("g", "point").collect() for r in (9.0, None)
+    )
+    assert [r["density"] for r in near] == pytest.approx([r["density"] for r in full], rel=1e-12, abs=1e-17)
+
+
 def test_kde_integrates_to_one(spark):
     rows = spark.createDataFrame([(float(i % 17),) for i in range(400)], "v double")
     got = distributions.kde(rows, "v").orderBy("point").collect()
