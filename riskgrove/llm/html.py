@@ -4,6 +4,9 @@ A page becomes a light tree of its elements. Runs of text between block boundari
 Paragraphs pass points for length and commas to their ancestors, less with each step up; a
 container's points are discounted by its link density. The best container and those of its
 siblings that look like it are kept.
+
+Elements that look like something else are marked while reading, and left out once the whole page
+is known: a mark does not count on an element that wraps the article itself.
 """
 
 from __future__ import annotations
@@ -50,11 +53,21 @@ UNLIKELY = re.compile(
     r"related|recommend\w*|teaser|login|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Marks by how much it takes to lift them: layouts are often named after what stands beside the
+#: article, comments and the like hardly ever; elements and roles say what they are.
+SOFT, FIRM, FIXED = 1, 2, 3
+WRAPPERS = frozenset("form button dialog".split())
+NAMED = re.compile(
+    r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond|footer|cookies?|consent|gdpr|related|recommend\w*)(?:$|[\s_-])"
+    r"|^sidebars?$",
+    re.IGNORECASE,
+)
 #: Words in class or id that say how a page is laid out, not what an element is.
 LAYOUT = ("has-", "with-", "no-", "without-")
 #: Classes and ids of a page's header.
 HEADERS = frozenset("header site-header page-header main-header global-header top-header".split())
 LIKELY = frozenset(("article", "main"))
+WHOLE = frozenset(("html", "body", "article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "li", "dd"))
 
@@ -63,15 +76,26 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "place", "out", "points", "chars", "linked", "order")
+    """An element. ``cut`` ones hold no text, ``out`` ones none of the article. ``near`` is the
+    nearest marked element from here up, ``inline`` the same within a run of inline elements,
+    ``likely`` the outermost article or main."""
+
+    __slots__ = ("tag", "parent", "cut", "mark", "near", "inline", "likely", "out", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, order: int):
-        self.tag, self.parent, self.out, self.order = tag, parent, out, order
+    def __init__(self, tag: str, parent: Node | None, cut: bool, mark: int):
+        self.tag, self.parent, self.cut, self.mark, self.out = tag, parent, cut, mark, False
+        self.near = self if mark else parent.near if parent is not None else None
+        self.inline = None
+        if tag in INLINE:
+            self.inline = self if mark else parent.inline
+        self.likely = parent.likely if parent is not None else None
+        if tag in LIKELY and self.likely is None:
+            self.likely = self
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
@@ -83,7 +107,7 @@ class Page:
         self.nodes = [self.root]
         self.blocks: list[tuple[Node, str, int]] = []
         self._open = [self.root]
-        self._pieces: list[tuple[str, bool]] = []
+        self._pieces: list[tuple[str, bool, Node | None]] = []
         self._links = 0
         self._read(source)
 
@@ -110,25 +134,30 @@ class Page:
         self._flush()
 
     def _text(self, piece: str) -> None:
-        if piece and not self._open[-1].out:
-            self._pieces.append((html.unescape(piece) if "&" in piece else piece, self._links > 0))
+        node = self._open[-1]
+        if piece and not node.cut:
+            self._pieces.append((html.unescape(piece) if "&" in piece else piece, self._links > 0, node.inline))
 
     def _flush(self) -> None:
         if not self._pieces:
             return
-        text = _SPACE.sub(" ", "".join(p for p, _ in self._pieces)).strip()
-        if text:
-            linked = sum(len(p.strip()) for p, inside in self._pieces if inside)
-            node = self._open[-1]
-            while node.tag in INLINE and node.parent is not None:
-                node = node.parent
-            self.blocks.append((node, text, min(linked, len(text))))
+        runs: dict[Node | None, list[tuple[str, bool]]] = {}
+        for piece, inside, marked in self._pieces:
+            runs.setdefault(marked, []).append((piece, inside))
+        for marked, pieces in runs.items():
+            text = _SPACE.sub(" ", "".join(p for p, _ in pieces)).strip()
+            if text:
+                linked = sum(len(p.strip()) for p, inside in pieces if inside)
+                node = marked or self._open[-1]
+                while node is not marked and node.tag in INLINE and node.parent is not None:
+                    node = node.parent
+                self.blocks.append((node, text, min(linked, len(text))))
         self._pieces = []
 
     def _start(self, name: str, attributes: str) -> None:
         if name == "br" or name == "wbr":
-            if name == "br" and not self._open[-1].out:
-                self._pieces.append((" ", False))
+            if name == "br" and not self._open[-1].cut:
+                self._pieces.append((" ", False, self._open[-1].inline))
             return
         if name not in INLINE:
             self._flush()
@@ -139,28 +168,87 @@ class Page:
         if name in VOID:
             return
         parent = self._open[-1]
-        out = parent.out or name in SILENT or self._outside(name, attributes)
-        node = Node(name, parent, out, len(self.nodes))
+        cut, mark = parent.cut or name in SILENT, 0
+        if not cut:
+            named = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
+            cut = name not in WHOLE and self._hidden(named)
+            mark = 0 if cut else self._mark(name, named)
+        node = Node(name, parent, cut, mark)
         self.nodes.append(node)
         self._open.append(node)
         self._links += name == "a"
 
-    def _outside(self, name: str, attributes: str) -> bool:
-        if name in OUTSIDE:
+    @staticmethod
+    def _hidden(named: dict[str, str]) -> bool:
+        if "hidden" in named or named.get("aria-hidden", "").lower() == "true":
             return True
+        return bool(re.search(r"display\s*:\s*none", named.get("style", "")))
+
+    def _mark(self, name: str, named: dict[str, str]) -> int:
+        """How firmly an element looks like something else than the article; 0 for not at all."""
+        if name in OUTSIDE:
+            return SOFT if name in WRAPPERS else FIXED
+        inside = self._open[-1].likely
         if name == "header":  # of the page; the header of an article holds its title
-            return not any(n.tag in LIKELY for n in self._open)
-        if not attributes or name in ("html", "body", "article", "main"):
-            return False
-        named = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-        if named.get("role", "").lower() in ROLES or named.get("aria-hidden", "").lower() == "true":
-            return True
-        if re.search(r"display\s*:\s*none", named.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes):
-            return True
+            return 0 if inside else FIXED
+        if not named or name in WHOLE:
+            return 0
+        if named.get("role", "").lower() in ROLES:
+            return FIXED
         words = [w for key in ("class", "id") for w in named.get(key, "").split()]
-        if any(w.lower() in HEADERS for w in words) and not any(n.tag in LIKELY for n in self._open):
-            return True
-        return any(UNLIKELY.search(w) for w in words if not w.lower().startswith(LAYOUT))
+        if not inside and any(w.lower() in HEADERS for w in words):
+            return FIRM
+        marks = [w for w in words if not w.lower().startswith(LAYOUT) and UNLIKELY.search(w)]
+        return FIRM if any(NAMED.search(w) for w in marks) else SOFT if marks else 0
+
+    def article_blocks(self) -> list[tuple[Node, str, int]]:
+        """The blocks outside of marked elements.
+
+        Marks that wrap the article are lifted, outermost first: on an element that holds the only
+        article or main, on a soft one that holds most of the points, and, if nothing else has
+        points, on the one named by class that holds the most of them.
+        """
+        marks = [n for n in self.nodes if n.mark]
+        if not marks:
+            return self.blocks
+        none = self.root
+        own, holds, below = {none: 0.0}, {none: 0}, {none: []}
+        for node in marks:
+            own[node], holds[node], below[node] = 0.0, 0, []
+        up = {m: m.parent.near or none for m in marks}
+        for node, text, linked in self.blocks:
+            own[node.near or none] += _points(node, text, linked)
+        for node in {node.likely for node, _, _ in self.blocks if node.likely}:
+            holds[node.near or none] += 1
+        free, likely = own[none], holds[none]
+        weight = dict(own)
+        for node in reversed(marks):
+            below[up[node]].append(node)
+            holds[up[node]] += holds[node]
+            if node.mark == SOFT or holds[node]:
+                weight[up[node]] += weight[node]
+        total = weight[none]
+        edge = below[none][:]
+
+        def wraps(m: Node) -> bool:
+            if not weight[m]:
+                return False
+            if holds[m] == 1 and (m.mark == SOFT) + (not likely) + (weight[m] > free) >= 2:
+                return True
+            if m.mark == SOFT and weight[m] * 2 > total and (m.likely or not likely):
+                return True
+            return m.mark != FIXED and not free
+
+        lifted = set()
+        while found := max(filter(wraps, edge), key=weight.get, default=None):
+            lifted.add(found)
+            edge.remove(found)
+            edge += below[found]
+            free += own[found]
+            likely += holds[found] - sum(holds[m] for m in below[found])
+        for node in self.nodes:
+            node.out = node.mark > 0 and node not in lifted or node.parent is not None and node.parent.out
+        return [b for b in self.blocks if not b[0].out]
 
     def _pop(self, names: set[str], limit: set[str]) -> None:
         for depth in range(len(self._open) - 1, 0, -1):
@@ -189,18 +277,18 @@ class Page:
 def main_text(source: str) -> str:
     """The blocks of the best container and its like siblings, joined by blank lines."""
     page = Page(source)
-    if not page.blocks:
+    blocks = page.article_blocks()
+    if not blocks:
         return ""
-    for node, text, linked in page.blocks:
+    for node, text, linked in blocks:
         up: Node | None = node
         while up is not None:
             up.chars += len(text)
             up.linked += linked
             up = up.parent
-        if node.tag in HEADINGS:
+        points = _points(node, text, linked)
+        if not points:
             continue
-        points = min(len(text) / 100, 3.0) + text.count(",") + (1.0 if len(text) >= 25 else 0.1)
-        points *= 1 - linked / len(text)
         up = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
         step = 1
         while up is not None:
@@ -228,7 +316,7 @@ def main_text(source: str) -> str:
                 if like:
                     kept.add(id(node))
     out = []
-    for node, text, _ in page.blocks:
+    for node, text, _ in blocks:
         up = node
         while up is not None and id(up) not in kept:
             up = up.parent
@@ -237,6 +325,14 @@ def main_text(source: str) -> str:
     return "\n\n".join(out)
 
 
+def _points(node: Node, text: str, linked: int) -> float:
+    """Points of a block; headings have none."""
+    if node.tag in HEADINGS:
+        return 0.0
+    points = min(len(text) / 100, 3.0) + text.count(",") + (1.0 if len(text) >= 25 else 0.1)
+    return points * (1 - linked / len(text))
+
+
 def _score(node: Node) -> float:
     bonus = 1.5 if node.tag in LIKELY else 1.0
     return node.points * bonus * (1 - node.linked / node.chars)

@@ -210,6 +210,43 @@ def test_main_text_of_odd_pages():
     assert html.main_text("<div class='site-header'><p>Name, of, it.</p></div><p>Text, of, it.</p>") == "Text, of, it."
 
 
+LONG = "<p>" + "One, long, part. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<form id='aspnetForm'>%s</form>",
+        "<div class='layout sidebar-right'>%s</div>",
+        "<div class='content-with-sidebar'>%s<div class='sidebar'><p>Read, this, too.</p></div></div>",
+        "<div class='menu'><dialog><div id='page-search'>%s</div></dialog></div><div>by, me</div>",
+        "<div class='content-with-comments'>%s<div class='comments'><p>I, liked, it.</p></div></div>",
+    ],
+)
+@pytest.mark.parametrize("article", ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>"])
+def test_main_text_of_wrapped_articles(around, article):
+    page = "<nav><a href=/>Home</a></nav>" + around % (article % LONG) + "<footer>all, rights</footer>"
+    got = html.main_text(page).split("\n\n")
+    assert got[0] == ("One, long, part. " * 20).strip() and "Read, this, too." not in got and "I, liked, it." not in got
+
+
+def test_main_text_without_what_stands_beside():
+    beside = [
+        "<div class='comments'><article>%s</article><article>%s</article></div>" % (LONG, LONG),
+        "<aside><article>%s</article></aside>" % LONG,
+        "<form>%s</form>" % LONG,
+        "<div class='sidebar'>%s</div>" % LONG,
+    ]
+    for part in beside:
+        assert html.main_text(f"<article><p>Short, it is.</p></article>{part}") == "Short, it is."
+    assert html.main_text("<nav><p>one, two</p></nav><footer>three, four</footer>") == ""
+
+
+def test_hidden_is_an_attribute_name_only():
+    page = "<article><p title='a hidden gem'>One <a title=\"hidden, too\">two</a> three.</p><p hidden>no</p><p hidden=''>no</p></article>"
+    assert html.main_text(page) == "One two three."
+
+
 def test_pages_against_their_articles(spark):
     import html as plain
 
