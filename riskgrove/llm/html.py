@@ -2,8 +2,8 @@
 
 A page becomes a light tree of its elements. Runs of text between block boundaries are blocks.
 Paragraphs pass points for length and commas to their ancestors, less with each step up; a
-container's points are discounted by its link density. The best container and those of its
-siblings that look like it are kept.
+container's points are discounted by its link density. The article or main around the best
+container is kept; on pages without one, the container and its siblings that are no link lists.
 
 Elements that look like something else are marked while reading, and left out once the whole page
 is known: a mark does not count on an element that wraps the article itself.
@@ -68,6 +68,8 @@ LAYOUT = ("has-", "with-", "no-", "without-")
 HEADERS = frozenset("header site-header page-header main-header global-header top-header".split())
 LIKELY = frozenset(("article", "main"))
 WHOLE = frozenset(("html", "body", "article", "main"))
+TOP = frozenset(("", "html", "body"))
+HEAD = frozenset(("head", "title"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "li", "dd"))
 
@@ -300,17 +302,18 @@ def main_text(source: str) -> str:
             score = _score(node)
             if score > most:
                 best, most = node, score
-    up = best
-    while up is not None and up.tag != "article":
-        up = up.parent
-    best = up or best  # a part of an article stands for all of it
+    whole = best.likely
+    best = whole or best  # a part of an article stands for all of it
+    while not whole and best.parent is not None and best.parent.tag not in TOP and best.parent.chars == best.chars:
+        best = best.parent  # a wrapper of nothing else
     kept = {id(best)}
-    if best.parent is not None:
+    if best.parent is not None and best.tag not in TOP:
         least = max(10.0, most * 0.2)
         for node in page.nodes:
-            if node.parent is best.parent and node is not best and node.chars:
+            if node.parent is best.parent and node is not best and node.chars and not node.mark and node.tag not in HEAD:
                 density = node.linked / node.chars
-                like = _score(node) >= least
+                # beside an article only what is as good; else all parts but lists of links
+                like = _score(node) >= least if whole else density < 0.25
                 if node.tag == "p" or node.tag in HEADINGS:
                     like = like or density < 0.25 and (node.chars > 80 or node.tag in HEADINGS) or not node.linked
                 if like:

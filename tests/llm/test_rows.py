@@ -242,6 +242,17 @@ def test_main_text_without_what_stands_beside():
     assert html.main_text("<nav><p>one, two</p></nav><footer>three, four</footer>") == ""
 
 
+def test_main_text_of_parts_without_an_article():
+    line = ("One, long, part. " * 20).strip()
+    links = "<div><a href=1>One</a> <a href=2>Two</a></div>"
+    parts = f"<div>{LONG}</div><div><p>Short end</p></div>{links}<div class='sidebar'><p>No, no.</p></div>"
+    assert html.main_text(f"<div id=content>{parts}</div>") == f"{line}\n\nShort end"
+    nested = f"<div id=content><div><div>{LONG}</div></div><div><p>Short end</p></div></div>"
+    assert html.main_text(f"<head><title>T</title></head><body>{nested}</body>") == f"{line}\n\nShort end"
+    titled = f"<main><header><h1>Title</h1></header><div>{LONG}</div></main>"
+    assert html.main_text(f"<body>{titled}<div>all, rights</div></body>") == f"Title\n\n{line}"
+
+
 def test_hidden_is_an_attribute_name_only():
     page = "<article><p title='a hidden gem'>One <a title=\"hidden, too\">two</a> three.</p><p hidden>no</p><p hidden=''>no</p></article>"
     assert html.main_text(page) == "One two three."
