@@ -79,6 +79,18 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, str, int]]:
     return found
 
 
+def _without(text: str, start: int, end: int, own: str, least: int, most: int) -> str:
+    """``text[start:end]`` without the copies of a string, which may stick out of it but lie in
+    ``text[least:most]``."""
+    pieces, at = [], start
+    copy = text.find(own, max(least, start - len(own) + 1), min(most, end + len(own) - 1))
+    while copy >= 0:
+        pieces.append(text[at : max(at, copy)])
+        at = copy + len(own)
+        copy = text.find(own, at, min(most, end + len(own) - 1))
+    return "".join(pieces) + text[at:end]
+
+
 class Novelty:
     """Marginal compressed bytes of a string against its surroundings and a dictionary."""
 
@@ -90,8 +102,10 @@ class Novelty:
         )
 
     def share(self, text: str, start: int, end: int) -> float:
-        """Bytes that the string adds, for each of its bytes."""
-        before, own, after = text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]
+        """Bytes that the string adds, for each of its bytes; copies of it nearby don't count."""
+        own = text[start:end]
+        before = _without(text, max(0, start - AROUND), start, own.rstrip("="), 0, start)
+        after = _without(text, end, end + AROUND, own.rstrip("="), end, len(text))
         around = (before + after).encode("utf-8", "surrogatepass")
         whole = (before + after + own).encode("utf-8", "surrogatepass")
         more = len(self.packer.compress(whole)) - len(self.packer.compress(around))
@@ -167,7 +181,8 @@ def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None
     without overlap for each kind; short matches are dropped. A novel string stands behind a
     sensitive word, mixes letters and digits, is not itself a base span and hardly compresses
     against the text around it and the identifiers of the whole corpus. The value of an
-    assignment can be novel: its span then lies in that of the assignment.
+    assignment can be novel: its span then lies in that of the assignment. Other copies of a string
+    are taken out of the text around it, so each copy is as novel as a single one.
 
     Null and empty texts have no spans. Equal texts have equal spans. Spans are sorted by start,
     then kind. An empty table gives an empty table.

@@ -388,6 +388,23 @@ def test_scan_against_brute_force(spark):
         assert SECRET_TEXTS[i][span.start : span.end] == "Zk3vQ9xT7bLm2Rw8Yp4Nc6Ha"
 
 
+def test_scan_copies_of_a_string(spark):
+    one = "Zk3vQ9xT7bLm2Rw8Yp4Nc6Ha"
+    texts = [
+        f"credential {one} and the credential {one}",
+        f"credential {one} credential {one} " + "some prose " * 22 + f"credential {one}",
+        f"key {one} " + "x " * 115 + f"key {one}",  # the copy sticks out of the text around it
+        "credential aaaa1111aaaa1111aaaa1111 credential aaaa1111aaaa1111aaaa1111",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: [texts[r.row.doc_id][s.start : s.end] for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert got == {0: [one] * 2, 1: [one] * 3, 2: [one] * 2, 3: []}
+    novelty = secrets.Novelty([])
+    alone = f"the credential {one} and some"
+    for more in (f" {one}", f" {one}=="):
+        assert novelty.share(alone + more, 15, 15 + len(one)) >= novelty.share(alone, 15, 15 + len(one)) - 2 / len(one)
+
+
 def test_scan_query_digests(spark):
     rows = queries.op9_secret_scan(spark, "/root/testdata/sf0.01").collect()
     texts = dict(queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect())
