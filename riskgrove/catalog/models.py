@@ -55,19 +55,19 @@ def prepared(spark, sf_dir) -> Prepared:
 
 def boosted(spark, sf_dir):
     ready = prepared(spark, sf_dir)
-    fit = lambda: L.fit_boosted(ready.train, ready.features, CLASSES, L.SMALL_BOOST, key="row_id")
+    fit = lambda: L.fit_boosted(ready.train, ready.features, CLASSES, L.FIRST_BOOST, key="row_id")
     return _once(spark, sf_dir, "boosted", fit)
 
 
 def second_boosted(spark, sf_dir):
     ready = prepared(spark, sf_dir)
-    fit = lambda: L.fit_boosted(ready.train, ready.features, CLASSES, L.SMALL_SECOND_BOOST, key="row_id")
+    fit = lambda: L.fit_boosted(ready.train, ready.features, CLASSES, L.SECOND_BOOST, key="row_id")
     return _once(spark, sf_dir, "second boosted", fit)
 
 
 def forest(spark, sf_dir):
     ready = prepared(spark, sf_dir)
-    return _once(spark, sf_dir, "forest", lambda: L.fit_forest(ready.train, ready.features, L.SMALL_FOREST))
+    return _once(spark, sf_dir, "forest", lambda: L.fit_forest(ready.train, ready.features, L.FOREST))
 
 
 def _fit(features, train, point, base=L.BoostProfile(rounds=1, depth=3, step=0.1)):

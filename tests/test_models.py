@@ -146,6 +146,21 @@ def test_grid_search_table(rows):
     assert best["depth"] == got.loc[got.mean_test_score.idxmax(), "param_depth"]
 
 
+def test_registered_ensembles_have_the_published_sizes(monkeypatch):
+    from types import SimpleNamespace
+
+    from riskgrove.catalog import models as registered
+
+    monkeypatch.setattr(registered, "prepared", lambda *_: SimpleNamespace(train=None, features=[]))
+    monkeypatch.setattr(registered, "_once", lambda spark, sf_dir, what, make: make())
+    monkeypatch.setattr(models, "fit_boosted", lambda train, features, classes, profile, key=None: profile)
+    monkeypatch.setattr(models, "fit_forest", lambda train, features, profile: profile)
+    first, second, forest = (f(None, "") for f in (registered.boosted, registered.second_boosted, registered.forest))
+    assert (first.rounds, first.depth, first.step, first.min_child, first.patience) == (500, 8, 0.05, 20, 50)
+    assert (second.rounds, second.depth, second.step, second.min_child) == (500, 8, 0.05, 1)
+    assert (forest.trees, forest.depth, forest.min_child) == (300, 15, 5)
+
+
 def test_grid_points():
     assert len(tuning.grid_points({"a": [1, 2], "b": [1, 2], "c": [1, 2], "d": [1, 2]})) == 16
 
