@@ -216,6 +216,7 @@ def cluster_bundle(spark, sf_dir):
 
 SWEEP = [*range(2, 11)]
 MIXTURES = [*range(2, 8)]
+STARTS = [*range(42, 52)]
 
 
 def vectors(spark, sf_dir, *keep: str):
@@ -255,7 +256,7 @@ def pca_by_risk(spark, sf_dir):
 def kmeans_sweep(spark, sf_dir):
     data = vectors(spark, sf_dir).persist()
     try:
-        return C.kmeans_sweep(data, SWEEP, seeds=[42, 43], max_iter=6, dims=_dims(spark, sf_dir))
+        return C.kmeans_sweep(data, SWEEP, seeds=STARTS, dims=_dims(spark, sf_dir))
     finally:
         data.unpersist()
 
@@ -265,9 +266,9 @@ def best_clustering(spark, sf_dir):
     data = vectors(spark, sf_dir, "row_id")
     kept = data.persist()
     try:
-        table = C.kmeans_sweep(kept, SWEEP, seeds=[42], max_iter=5, dims=_dims(spark, sf_dir))
+        table = C.kmeans_sweep(kept, SWEEP, seeds=STARTS, dims=_dims(spark, sf_dir))
         best = Q.best_row(table, "silhouette").first()["k"]
-        model = C.fit_kmeans(kept, best, seeds=[42], max_iter=10)
+        model = C.fit_kmeans(kept, best, seeds=STARTS)
     finally:
         kept.unpersist()
     return model.transform(data).select("row_id", F.col("prediction").alias("cluster"))
@@ -284,7 +285,7 @@ def squared_silhouette(spark, sf_dir):
 def gmm_sweep(spark, sf_dir):
     data = vectors(spark, sf_dir).persist()
     try:
-        return C.gmm_sweep(data, MIXTURES, max_iter=10)
+        return C.gmm_sweep(data, MIXTURES)
     finally:
         data.unpersist()
 
@@ -294,8 +295,8 @@ def gmm_labels(spark, sf_dir):
     data = vectors(spark, sf_dir, "row_id")
     kept = data.persist()
     try:
-        best = Q.best_row(C.gmm_sweep(kept, MIXTURES, max_iter=10), "bic", largest=False).first()["k"]
-        model = C.fit_gmm(kept, best, max_iter=10)
+        best = Q.best_row(C.gmm_sweep(kept, MIXTURES), "bic", largest=False).first()["k"]
+        model = C.fit_gmm(kept, best)
     finally:
         kept.unpersist()
     return model.transform(data).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))

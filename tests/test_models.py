@@ -161,6 +161,38 @@ def test_registered_ensembles_have_the_published_sizes(monkeypatch):
     assert (forest.trees, forest.depth, forest.min_child) == (300, 15, 5)
 
 
+def test_registered_clusterings_run_until_they_converge(monkeypatch):
+    from inspect import signature
+    from unittest.mock import MagicMock
+
+    from riskgrove.catalog import clusters as registered
+
+    fits = []
+
+    def recorded(operator):
+        def call(*args, **named):
+            whole = signature(operator).bind(*args, **named)
+            whole.apply_defaults()
+            fits.append((len(whole.arguments.get("seeds", [1])), whole.arguments["max_iter"]))
+            return MagicMock()
+
+        return call
+
+    for name in ("kmeans_sweep", "fit_kmeans", "gmm_sweep", "fit_gmm"):
+        monkeypatch.setattr(cluster, name, recorded(getattr(cluster, name)))
+    for name in ("vectors", "_dims", "Q", "F"):
+        monkeypatch.setattr(registered, name, MagicMock())
+    for query, want in (
+        (registered.kmeans_sweep, [(10, 300)]),
+        (registered.best_clustering, [(10, 300)] * 2),
+        (registered.gmm_sweep, [(1, 100)]),
+        (registered.gmm_labels, [(1, 100)] * 2),
+    ):
+        fits.clear()
+        query(None, "")
+        assert fits == want
+
+
 def test_grid_points():
     assert len(tuning.grid_points({"a": [1, 2], "b": [1, 2], "c": [1, 2], "d": [1, 2]})) == 16
 
