@@ -208,6 +208,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     return clean.select("row.*")
 
 
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [
+            without_spans(text, [(s["start"], s["end"]) for s in spans]) if spans else text
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+
+def cut_out(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """All rows of ``docs``, their texts without the words of benchmark phrases; null stays null."""
+    rows = contamination(docs, benchmark, text_col)
+    text = F.col("row").getField(text_col).cast("string").alias("text")
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
+    clean = rows.select("row", text, F.col("found.spans").alias("spans")).mapInArrow(_cut_batches, schema)
+    own = lambda c: F.col("text") if c == text_col else F.col("row").getField(c)
+    return clean.select(*[own(c).alias(c) for c in docs.columns])
+
+
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """A text without the words of the spans; what stands between kept words stays."""
     import re

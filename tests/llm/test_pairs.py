@@ -194,6 +194,16 @@ def test_spans_can_be_cut_out():
     assert decontaminate.without_spans(text, [(2, 5)]) == "Keep this, . keep"
 
 
+def test_texts_keep_their_clean_words(spark):
+    item = "one two three four five six seven eight nine ten"
+    texts = [f"Before, {item.upper()}! After {item}.", "clean words", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = dict(decontaminate.cut_out(docs, benchmark).collect())
+    assert got == {0: "Before, ! After .", 1: "clean words", 2: "", 3: None}
+    assert decontaminate.cut_out(docs.limit(0), benchmark).count() == 0
+
+
 # ---- near duplicates -----------------------------------------------------------------------
 
 
