@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import corpus_pipeline
-from riskgrove.llm import chat, ctw, decontaminate, exact, html, mixing, quality, rollup, secrets, simhash
-from riskgrove.llm.common import WORD, lowered, text_of
+from riskgrove.llm import centroids, chat, ctw, decontaminate, exact, html, lines, merkle, mixing
+from riskgrove.llm import quality, rollup, secrets, simhash
+from riskgrove.llm.common import LOWER, UPPER, WORD, lowered, text_of
 from riskgrove.session import shared_path
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -224,6 +225,150 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+
+
+def op11_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centres, _ = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    sums = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    sums = sums.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy()))
+    names = [(i, name) for i, name in enumerate(centroids.named_centroids(centres))]
+    named = spark.createDataFrame(names, "cluster int, name string")
+    # One row for each of the 40 clusters.
+    each = sums.join(named, "cluster").select(
+        "cluster", "cluster_inertia", "inertia", F.sha2("name", 256).alias("centroid_sha256")
+    )
+    return found.withColumnRenamed("id", "vec_id").join(F.broadcast(each), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _op11_sql(k: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS) -> str:
+    floor = "((s - ((s % m) + m) % m) // m)"
+    parts = [
+        f"""kept AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor({centroids.STEPS}e0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {centroids.DIMS}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIMS}),
+cells AS MATERIALIZED (
+  SELECT r, unnest(range({centroids.DIMS})) AS i, unnest(v) AS x FROM kept),
+seeds AS (
+  SELECT row_number() OVER (ORDER BY name, v) - 1 AS c, v
+  FROM (SELECT sha256('{centroids.SEED_PREFIX}' || coalesce(vec_id::VARCHAR, '')) AS name, v FROM kept ORDER BY name, v LIMIT {k})),
+c0 AS MATERIALIZED (SELECT c, unnest(range({centroids.DIMS})) AS i, unnest(v) AS x FROM seeds)"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT r, c, sum((p.x - q.x) * (p.x - q.x))::BIGINT AS d FROM cells p JOIN c{n} q USING (i) GROUP BY r, c)
+  GROUP BY r)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""c{n + 1} AS MATERIALIZED (
+  SELECT q.c, q.i, coalesce(t.x, q.x) AS x
+  FROM c{n} q LEFT JOIN (
+    SELECT c, i, {floor} AS x
+    FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS m FROM cells JOIN a{n} USING (r) GROUP BY c, i)) t USING (c, i))"""
+            )
+    return f"""WITH {", ".join(parts)},
+names AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS name FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, name AS centroid_sha256
+FROM kept JOIN a{rounds} USING (r) JOIN names USING (c)"""
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = merkle.audit(docs, merkle.tampered_leaf())
+    return rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+def _leaf_sql(text: str) -> str:
+    field = lambda f: f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(field(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE
+d AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+         {_leaf_sql("replace(text, chr(10), '')")} AS emptied,
+         xor(list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda held, byte: list_reduce(
+             list_concat([xor(held, byte)], list_transform(range(8), lambda z: 0::BIGINT)),
+             lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc
+  FROM documents),
+r AS (
+  SELECT *, CASE WHEN crc % 2 = 0 THEN emptied ELSE leaf END AS claim,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+t AS (
+  SELECT source, list(leaf ORDER BY place) AS nodes FROM r GROUP BY source),
+up(source, level, nodes) AS (
+  SELECT source, 0, nodes FROM t
+  UNION ALL
+  SELECT source, level + 1,
+         list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+  FROM up WHERE len(nodes) > 1),
+s AS (
+  SELECT source, nodes[1] AS subroot, level AS depth,
+         row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS rank
+  FROM up WHERE len(nodes) = 1),
+above(level, nodes) AS (
+  SELECT 0, (SELECT list(subroot ORDER BY rank) FROM s)
+  UNION ALL
+  SELECT level + 1,
+         list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+  FROM above WHERE len(nodes) > 1),
+levels AS (
+  SELECT source, level, nodes, false AS top FROM up WHERE len(nodes) > 1
+  UNION ALL
+  SELECT source, depth + level, above.nodes, true FROM above, s WHERE len(above.nodes) > 1),
+climb(doc_id, source, level, place, claim, path) AS (
+  SELECT doc_id, r.source, 0, CASE WHEN depth = 0 THEN rank ELSE place END, claim, ''
+  FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT c.doc_id, c.source, c.level + 1,
+         CASE WHEN c.level + 1 = s.depth THEN s.rank ELSE c.place // 3 END,
+         sha256(array_to_string(l.nodes[c.place // 3 * 3 + 1:c.place], '') || c.claim
+                || array_to_string(l.nodes[c.place + 2:c.place // 3 * 3 + 3], '')),
+         c.path || array_to_string(l.nodes[c.place // 3 * 3 + 1:c.place], '')
+                || array_to_string(l.nodes[c.place + 2:c.place // 3 * 3 + 3], '')
+  FROM climb c JOIN levels l ON c.source IS NOT DISTINCT FROM l.source AND c.level = l.level
+  JOIN s ON c.source IS NOT DISTINCT FROM s.source),
+ends AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) AS n FROM climb),
+root AS (SELECT nodes[1] AS root FROM above WHERE len(nodes) = 1)
+SELECT r.doc_id, r.leaf, s.subroot, root.root, sha256(e.path) AS proof_sha256, e.claim AS folded_root,
+       e.claim = root.root AS verified
+FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source JOIN ends e ON r.doc_id = e.doc_id AND e.n = 1, root
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = lines.drop_common_lines(docs)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_KEY_SQL = f"""translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                 '{UPPER}', '{LOWER}')"""
+OP13_SQL = f"""
+WITH l AS (
+  SELECT doc_id, i, line, {_KEY_SQL} AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+f AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}),
+m AS (SELECT l.*, f.key IS NOT NULL AS gone FROM l LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -235,6 +380,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_heap_clusters": op11_heap_clusters,
+    "op12_merkle": op12_merkle,
+    "op13_line_dedup": op13_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -244,4 +392,7 @@ SQL: dict[str, str] = {
     "op5_token_rollup": OP5_SQL,
     "op7_quote_links": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_heap_clusters": _op11_sql(),
+    "op12_merkle": OP12_SQL,
+    "op13_line_dedup": OP13_SQL,
 }
