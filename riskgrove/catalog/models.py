@@ -6,8 +6,6 @@ queries look at the same model.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from riskgrove.catalog.profiles import split_sql
@@ -30,8 +28,8 @@ CLASSES = S.RISK_CODES
 SCORES = {0: "p0", 1: "p1", 2: "p2"}
 _KEPT: dict[tuple, object] = {}
 
-#: The grid; leaves follow from depth, so the published limit of leaves is not a parameter.
-GRID = {"depth": [3, 4], "min_child": [20, 50], "step": [0.05, 0.1]}
+#: The published grid.
+GRID = {"depth": [6, 8], "leaves": [31, 63], "min_child": [20, 50], "step": [0.05, 0.1]}
 
 
 def _once(spark, sf_dir, what, make):
@@ -67,12 +65,7 @@ def second_boosted(spark, sf_dir):
 
 def forest(spark, sf_dir):
     ready = prepared(spark, sf_dir)
-    return _once(spark, sf_dir, "forest", lambda: L.fit_forest(ready.train, ready.features, L.FOREST))
-
-
-def _fit(features, train, point, base=L.BoostProfile(rounds=1, depth=3, step=0.1)):
-    settings = {**base.__dict__, **{k: v for k, v in point.items()}}
-    return L.fit_boosted(train, features, CLASSES, L.BoostProfile(**settings))
+    return _once(spark, sf_dir, "forest", lambda: L.fit_forest(ready.train, ready.features, L.FOREST, classes=CLASSES, key="row_id"))
 
 
 def _folded(spark, sf_dir, k):
@@ -91,18 +84,22 @@ def searched(spark, sf_dir):
     """The table of the grid and its best point."""
 
     def make():
-        fit = partial(_fit, prepared(spark, sf_dir).features)
-        return T.grid_search(_folded(spark, sf_dir, 3), fit, GRID, 3, CLASSES, parallelism=8)
+        features = prepared(spark, sf_dir).features
+        return T.boosted_grid(_folded(spark, sf_dir, 3), features, CLASSES, L.TUNED_BOOST, GRID, 3, "row_id")
 
     return _once(spark, sf_dir, "grid", make)
 
 
+def _best_profile(spark, sf_dir) -> L.BoostProfile:
+    return L.BoostProfile(**{**L.TUNED_BOOST.__dict__, **searched(spark, sf_dir)[1]})
+
+
 def tuned(spark, sf_dir):
     """The boosted ensemble of the best grid point, fitted to all training rows."""
 
     def make():
         ready = prepared(spark, sf_dir)
-        profile = L.BoostProfile(**{**L.SMALL_BOOST.__dict__, **searched(spark, sf_dir)[1]})
+        profile = _best_profile(spark, sf_dir)
         return L.fit_boosted(ready.train, ready.features, CLASSES, profile, key="row_id")
 
     return _once(spark, sf_dir, "tuned", make)
@@ -143,8 +140,8 @@ def scores_check(spark, sf_dir):
     """Rows of each split, and those whose probabilities don't sum to 1, don't name the predicted
     class, or differ after the ensemble was saved and loaded."""
     model, rows, path = tuned(spark, sf_dir), prepared(spark, sf_dir).rows, shared_path(spark, "ensemble")
-    IO.save_model(model, path)
-    again = L.score(IO.load_model(path), rows, CLASSES).select(
+    L.save_ensemble(model, spark, path)
+    again = L.score(L.load_ensemble(spark, path), rows, CLASSES).select(
         "row_id", *[F.col(p).alias(f"{p}_again") for p in SCORES.values()]
     )
     both = L.score(model, rows, CLASSES).join(again, "row_id", "left")
@@ -213,9 +210,8 @@ def grid_search(spark, sf_dir):
 @register("v05_cross_validation")
 def cross_validation(spark, sf_dir):
     """Fold scores of the tuned settings."""
-    fit = partial(_fit, prepared(spark, sf_dir).features)
-    point = searched(spark, sf_dir)[1]
-    return T.cross_validate(_folded(spark, sf_dir, 5), fit, 5, CLASSES, point=point, parallelism=4)
+    features, profile = prepared(spark, sf_dir).features, _best_profile(spark, sf_dir)
+    return T.boosted_cross_validation(_folded(spark, sf_dir, 5), features, CLASSES, profile, 5, "row_id")
 
 
 def _explained(spark, sf_dir):
@@ -272,17 +268,27 @@ def additivity_check(spark, sf_dir):
 
 @register("h02_expected_values")
 def expected_values(spark, sf_dir):
-    leaves = treeshap.ensemble_leaves(tuned(spark, sf_dir), CLASSES, spark)
-    base = treeshap.base_values(leaves, len(CLASSES))
+    model = tuned(spark, sf_dir)
+    base = treeshap.expected(model, treeshap.ensemble_leaves(model))
     return spark.createDataFrame([(k, float(v)) for k, v in zip(CLASSES, base)], "class int, base double")
 
 
+def _sizes(spark, sf_dir):
+    """Sums of absolute contributions of the test rows, a row for each class, prediction and feature."""
+
+    def make():
+        path = shared_path(spark, "shap-sums")
+        treeshap.mean_sizes(tuned(spark, sf_dir), prepared(spark, sf_dir).test, "row_id").write.parquet(path)
+        return spark.read.parquet(path)
+
+    return _once(spark, sf_dir, "shap sums", make)
+
+
 @register("h03_fitted_importance")
 def fitted_importance(spark, sf_dir):
-    return H.global_importance(_explained(spark, sf_dir)[0])
+    return H.importance_of_sums(_sizes(spark, sf_dir))
 
 
 @register("h08_fitted_comparison")
 def fitted_comparison(spark, sf_dir):
-    scored = L.score(tuned(spark, sf_dir), prepared(spark, sf_dir).test, CLASSES)
-    return H.high_low_comparison(_explained(spark, sf_dir)[0], scored)
+    return H.comparison_of_sums(_sizes(spark, sf_dir))

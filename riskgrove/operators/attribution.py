@@ -26,6 +26,29 @@ def global_importance(shap: DataFrame) -> DataFrame:
     )
 
 
+def importance_of_sums(sums: DataFrame) -> DataFrame:
+    """``global_importance`` from the sums of ``treeshap.mean_sizes``."""
+    per_class = sums.groupBy("class", "feature").agg((F.sum("total") / F.sum("n")).alias("m"))
+    return (
+        per_class.groupBy("feature")
+        .agg(F.avg("m").alias("mean_abs_shap"))
+        .orderBy(F.desc("mean_abs_shap"), "feature")
+    )
+
+
+def comparison_of_sums(sums: DataFrame, high: int = 2, low: int = 0) -> DataFrame:
+    """``high_low_comparison`` from the sums of ``treeshap.mean_sizes``."""
+    mean = F.col("total") / F.col("n")
+    own = sums.where(F.col("class") == F.col("prediction"))
+    means = own.groupBy("feature").agg(
+        F.max(F.when(F.col("class") == high, mean)).alias("high_risk_abs_shap"),
+        F.max(F.when(F.col("class") == low, mean)).alias("low_risk_abs_shap"),
+    )
+    return means.withColumn(
+        "shap_diff", F.col("high_risk_abs_shap") - F.col("low_risk_abs_shap")
+    ).orderBy(F.desc("shap_diff"), "feature")
+
+
 def top_features(importance: DataFrame, n: int, value: str = "mean_abs_shap") -> DataFrame:
     """(feature, rank) of the n most important features; the table has a row per feature."""
     order = W.partitionBy(F.lit(0)).orderBy(F.desc(value), "feature")
