@@ -21,6 +21,9 @@ SEED = 42
 #: Rounds after which the margins of the rows are written to a table, which cuts their lineage.
 ROUNDS_PER_TABLE = 20
 
+#: Rows below which one more task for the blocks does not pay.
+ROWS_PER_TASK = 4_000
+
 
 @dataclass(frozen=True)
 class BoostProfile:
@@ -63,7 +66,7 @@ class ForestProfile:
 FIRST_BOOST = BoostProfile()
 SECOND_BOOST = BoostProfile(leaves=0, min_child=0, min_hessian=1.0)
 FOREST = ForestProfile()
-TUNED_BOOST = BoostProfile(rounds=300, l1=0.0, l2=0.0, patience=20)
+TUNED_BOOST = BoostProfile(rounds=300, l1=0.0, l2=0.0, patience=10)
 
 
 @dataclass
@@ -177,7 +180,7 @@ def fit_together(
             3,
             {i * k + c: sum(sum(v.values()) for t, v in counts.items() if t != fits[i].held) for i in active for c in range(k)},
             local_rows,
-            partitions=max(8, min(2 * len(active) * k, 64)),
+            partitions=max(1, min(2 * len(active) * k, 64)),
         )
         if old is not None:
             old.unpersist()
@@ -265,11 +268,12 @@ def _packed(rows: DataFrame, features: list[str], classes: list[int], bins: int,
     coded = rows.where(number >= 0).withColumn("__y", number)
     edges = T.edges_of(coded, features, bins) if edges is None else edges
     path = shared_path(spark, "blocks")
-    cores = spark.sparkContext.defaultParallelism
     counts: dict[int, dict[int, int]] = {}
     for t, y, n in coded.groupBy(tag, "__y").count().collect():
         counts.setdefault(t, {})[y] = n
-    each = sum(sum(c.values()) for c in counts.values()) // (2 * cores) + 1
+    total = sum(sum(c.values()) for c in counts.values())
+    cores = max(1, min(spark.sparkContext.defaultParallelism, total // ROWS_PER_TASK))
+    each = total // (2 * cores) + 1
     T.blocks_of(coded, features, edges, "__y", tag, key, max(2048, min(T.BLOCK_ROWS, each))).write.parquet(path)
     blocks = spark.read.parquet(path)
     if blocks.rdd.getNumPartitions() < cores:

@@ -321,7 +321,7 @@ def flat_tree(ids, features, cuts, gains, totals, rule: Rule) -> Tree:
             left.append(-1)
     q = np.array(queue)
     return Tree(
-        features[q].astype(np.int16), cuts[q].astype(np.uint8), np.array(left, np.int32),
+        features[q].astype(np.int16), np.where(features[q] >= 0, cuts[q], 0).astype(np.uint8), np.array(left, np.int32),
         np.where(features[q] >= 0, gains[q], 0.0), rule.size(totals[q]), rule.value(totals[q]),
     )
 
@@ -373,7 +373,8 @@ def grow(
         for u, nodes in large.items():
             ids, rule = np.array(nodes), rules[u]
             feats = columns.of_nodes(salts[u], ids)
-            hist = found[u].reshape(len(ids), feats.shape[1], bins, channels)
+            shape = (len(ids), feats.shape[1], bins, channels)
+            hist = found[u].reshape(shape) if u in found else np.zeros(shape)
             totals = hist[:, 0].sum(axis=1)
             gain, slot, cut, left = rule.best(hist, totals)
             for j, i in enumerate(nodes):

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrove.operators import attribution, cluster, models, split, treeshap, tuning
+from riskgrove.operators import attribution, cluster, models, split, trees, treeshap, tuning
 
 CLASSES = [0, 1, 2]
 FEATURES = ["a", "b", "c", "d"]
@@ -25,33 +25,123 @@ def rows(spark):
 
 @pytest.fixture(scope="module")
 def boosted(rows):
-    profile = models.BoostProfile(rounds=2, depth=3, step=0.1, min_child=5)
+    profile = models.BoostProfile(rounds=4, depth=4, leaves=6, step=0.3, min_child=5, l1=0.0)
     return models.fit_boosted(rows, FEATURES, CLASSES, profile, key="k")
 
 
 @pytest.fixture(scope="module")
 def forest(rows):
-    return models.fit_forest(rows, FEATURES, models.ForestProfile(trees=3, depth=3))
+    return models.fit_forest(rows, FEATURES, models.ForestProfile(trees=3, depth=3), key="k")
 
 
-def test_patience_outlasts_a_rise():
-    assert models.best_prefix([3.0, 2.0, 2.5, 1.0, 1.5], 50) == 4
-    assert models.best_prefix([3.0, 2.0, 2.5, 2.4, 1.0], 2) == 2
-    assert models.best_prefix([1.0, 2.0, 3.0], 50) == 1
+def same_trees(one, two):
+    for a, b in zip([t for own in one.trees for t in own], [t for own in two.trees for t in own], strict=True):
+        assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
+        assert np.allclose(a.value, b.value, atol=1e-6) and np.allclose(a.cover, b.cover)
+
+
+def test_summed_histograms_grow_the_trees_of_one_task(rows):
+    """Large nodes are split from sums over blocks, small ones in a task; the trees are the same."""
+    profile = models.BoostProfile(rounds=3, depth=5, leaves=9, step=0.3, min_child=3, patience=50)
+    fit = lambda n: models.fit_boosted(rows.repartition(4), FEATURES, CLASSES, profile, key="k", local_rows=n)
+    same_trees(fit(10_000), fit(60))
+    grown = lambda n: models.fit_forest(
+        rows.repartition(3), FEATURES, models.ForestProfile(trees=4, depth=6), key="k", local_rows=n
+    )
+    same_trees(grown(10_000), grown(90))
+
+
+def plain_split(x, g, h, min_child, l2):
+    """The best (gain, feature, bin) of all rows by direct sums."""
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + l2)
+    whole, best = score(np.ones(len(x), bool)), (0.0, None, None)
+    for f in range(x.shape[1]):
+        for b in range(int(x[:, f].max())):
+            left = x[:, f] <= b
+            if left.sum() >= min_child and (~left).sum() >= min_child:
+                gain = score(left) + score(~left) - whole
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, b)
+    return best
+
+
+def test_splits_equal_direct_sums():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (300, 3)).astype(np.uint8)
+    g, h = rng.normal(size=300) + (x[:, 1] > 4), rng.uniform(0.1, 0.3, 300)
+    rule = trees.Rule(True, 16, 3, 10, 20, 0.0, 0.0, 0.5)
+    grown = trees.grow_here(x, np.stack([g, h, np.ones(300)], axis=1), rule, trees.Columns(3), 1)
+    tree = trees.flat_tree(*grown, rule)
+    assert (tree.gain[0], tree.feature[0], tree.cut[0]) == pytest.approx(plain_split(x, g, h, 10, 0.5))
+    leaf = tree.leaf_of(x)
+    for at in np.unique(leaf):
+        m = leaf == at
+        assert tree.cover[at] == m.sum() and tree.value[at, 0] == pytest.approx(-g[m].sum() / (h[m].sum() + 0.5))
+
+
+def test_leaf_limit_takes_the_best_splits_first():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 30, (2000, 4)).astype(np.uint8)
+    g = rng.normal(size=2000) + np.sin(x[:, 0]) + (x[:, 1] > 11) * (x[:, 2] > 20)
+    c = np.stack([g, np.ones(2000), np.ones(2000)], axis=1)
+    grow = lambda leaves: trees.grow_here(x, c, trees.Rule(True, 32, 7, 5, 10, leaves=leaves), trees.Columns(4), 1)
+    ids, features, cuts, gains, totals = grow(0)
+    at = dict(zip(ids.tolist(), zip(features, gains)))
+    # The usual queue over the whole tree, ten leaves.
+    taken, queue = set(), [1]
+    for _ in range(9):
+        best = max((i for i in queue if at[i][0] >= 0), key=lambda i: at[i][1])
+        taken.add(best)
+        queue = [i for i in queue if i != best] + [2 * best, 2 * best + 1]
+    limited = trees.flat_tree(*grow(10), trees.Rule(True, 32, 7, 5, 10, leaves=10))
+    assert (limited.feature >= 0).sum() == 9
+    assert sorted(limited.gain[limited.feature >= 0]) == pytest.approx(sorted(at[i][1] for i in taken))
+
+
+def test_patience_ends_the_fit_early(rows):
+    profile = models.BoostProfile(rounds=200, depth=4, step=0.5, min_child=2, patience=4)
+    model = models.fit_boosted(rows, FEATURES, CLASSES, profile, key="k")
+    kept = len(model.trees[0])
+    assert kept < len(model.losses) < 200 and len(model.losses) - kept >= 4
+    assert model.losses[kept - 1] == min(model.losses)
 
 
 def test_a_shorter_fit_is_a_prefix(rows):
-    fit = lambda n: models.fit_boosted(rows, FEATURES, [2], models.BoostProfile(rounds=n, depth=2, step=0.1)).stages[1]
+    fit = lambda n: models.fit_boosted(rows, FEATURES, CLASSES, models.BoostProfile(rounds=n, depth=2, step=0.1))
     short, long = fit(2), fit(4)
-    assert [t.toDebugString.split("\n", 1)[1] for t in long.trees[:2]] == [t.toDebugString.split("\n", 1)[1] for t in short.trees]
+    long.trees = [own[:2] for own in long.trees]
+    same_trees(short, long)
+
+
+def test_fits_that_share_passes_equal_fits_alone(rows):
+    folded = split.stratified_folds(rows, "label", "k", 2)
+    profiles = [models.BoostProfile(rounds=3, depth=d, step=0.3, min_child=5) for d in (2, 4)]
+    both = models.fit_folds(folded, FEATURES, CLASSES, profiles, 2, "k")
+    alone = models.fit_folds(folded, FEATURES, CLASSES, profiles[1:], 2, "k")
+    for one, two in zip(both[1], alone[0]):
+        same_trees(one, two)
+        assert one.losses == pytest.approx(two.losses)
 
 
 def test_long_paths_equal_tabled_ones(rows, boosted, monkeypatch):
-    one, _ = treeshap.tree_shap(boosted, rows.limit(50), FEATURES, CLASSES, "k")
-    one = one.orderBy("k", "class", "feature").toPandas()
+    x = trees.binned(rows.limit(50).select(*FEATURES).toPandas().to_numpy(), boosted.edges)
+    one = treeshap.shapley(treeshap.ensemble_leaves(boosted), x, 3)
     monkeypatch.setattr(treeshap, "TABLED", 1)
-    two, _ = treeshap.tree_shap(boosted, rows.limit(50), FEATURES, CLASSES, "k")
-    pd.testing.assert_frame_equal(one, two.orderBy("k", "class", "feature").toPandas())
+    assert np.allclose(one, treeshap.shapley(treeshap.ensemble_leaves(boosted), x, 3))
+
+
+def test_sums_equal_the_long_table(rows, boosted):
+    long, _ = treeshap.tree_shap(boosted, rows, FEATURES, CLASSES, "k")
+    sums = treeshap.mean_sizes(boosted, rows, "k")
+    read = lambda table: table.orderBy("feature").toPandas().set_index("feature")
+    pd.testing.assert_frame_equal(
+        read(attribution.importance_of_sums(sums)), read(attribution.global_importance(long))
+    )
+    named = long.withColumnRenamed("k", "row_id")
+    scored = models.score(boosted, rows, CLASSES).withColumnRenamed("k", "row_id")
+    pd.testing.assert_frame_equal(
+        read(attribution.comparison_of_sums(sums)), read(attribution.high_low_comparison(named, scored))
+    )
 
 
 def test_probabilities_sum_to_one(rows, boosted, forest):
@@ -75,14 +165,14 @@ def test_contributions_add_up_to_the_output(rows, boosted, forest):
 def test_contributions_equal_brute_force(spark, rows, forest):
     """Shapley values by all subsets, with the path-dependent expectation of each tree."""
     nodes = [r.asDict() for r in models.tree_nodes(forest, CLASSES, spark).collect()]
-    trees = {}
+    grown = {}
     for n in nodes:
-        trees.setdefault(n["tree"], {})[n["id"]] = n
+        grown.setdefault(n["tree"], {})[n["id"]] = n
 
     def expect(tree, at, x, known):
         node = tree[at]
         if node["feature"] is None:
-            return np.array(node["stats"]) / sum(node["stats"])
+            return np.array(node["value"])
         left, right = tree[node["left"]], tree[node["right"]]
         if node["feature"] in known:
             side = node["left"] if x[node["feature"]] <= node["threshold"] else node["right"]
@@ -93,7 +183,7 @@ def test_contributions_equal_brute_force(spark, rows, forest):
         ) / node["cover"]
 
     def value(x, known):
-        return sum(expect(t, 0, x, known) for t in trees.values()) / len(trees)
+        return sum(expect(t, 0, x, known) for t in grown.values()) / len(grown)
 
     long, _ = treeshap.tree_shap(forest, rows.limit(6), FEATURES, CLASSES, "k")
     got = long.toPandas()
@@ -122,15 +212,25 @@ def test_importances_count_every_split(spark, boosted):
             assert r["cover"] == covers[(k, t, r["left"])]["cover"] + covers[(k, t, r["right"])]["cover"]
 
 
-def test_saved_pipeline_scores_the_same(rows, boosted, tmp_path):
-    from riskgrove.sources import files as IO
+def test_saved_ensembles_score_the_same(spark, rows, boosted, forest, tmp_path):
+    for name, model in (("b", boosted), ("f", forest)):
+        models.save_ensemble(model, spark, str(tmp_path / name))
+        again = models.load_ensemble(spark, str(tmp_path / name))
+        same_trees(model, again)
+        one = models.score(model, rows, CLASSES).orderBy("k").toPandas()
+        pd.testing.assert_frame_equal(one, models.score(again, rows, CLASSES).orderBy("k").toPandas())
 
-    IO.save_model(boosted, str(tmp_path / "m"))
-    again = IO.load_model(str(tmp_path / "m"))
-    assert again.stages[0].getInputCols() == FEATURES
-    one = models.score(boosted, rows, CLASSES).orderBy("k").toPandas()
-    two = models.score(again, rows, CLASSES).orderBy("k").toPandas()
-    pd.testing.assert_frame_equal(one, two)
+
+def test_boosted_grid_table(rows):
+    folded = split.stratified_folds(rows, "label", "k", 3)
+    base = models.BoostProfile(rounds=3, step=0.3, min_child=5)
+    table, best = tuning.boosted_grid(folded, FEATURES, CLASSES, base, {"depth": [1, 3]}, 3, "k")
+    got = table.toPandas()
+    assert len(got) == 2 and got.loc[got.mean_test_score.idxmax(), "param_depth"] == best["depth"]
+    assert (got.mean_test_score > 0.3).all() and (got.mean_fit_time > 0).all()
+    truth, guess = np.array([0, 0, 1, 2, 2]), np.array([0, 1, 1, 2, 0])
+    table = np.bincount(truth * 3 + guess, minlength=9).reshape(3, 3)
+    assert tuning.macro_f1(table) == pytest.approx((0.5 + 2 / 3 + 2 / 3) / 3)
 
 
 def test_grid_search_table(rows):
@@ -146,19 +246,17 @@ def test_grid_search_table(rows):
     assert best["depth"] == got.loc[got.mean_test_score.idxmax(), "param_depth"]
 
 
-def test_registered_ensembles_have_the_published_sizes(monkeypatch):
-    from types import SimpleNamespace
-
+def test_registered_ensembles_fit(spark):
+    """The registered queries run at their published sizes, and the fits end early by patience."""
     from riskgrove.catalog import models as registered
 
-    monkeypatch.setattr(registered, "prepared", lambda *_: SimpleNamespace(train=None, features=[]))
-    monkeypatch.setattr(registered, "_once", lambda spark, sf_dir, what, make: make())
-    monkeypatch.setattr(models, "fit_boosted", lambda train, features, classes, profile, key=None: profile)
-    monkeypatch.setattr(models, "fit_forest", lambda train, features, profile: profile)
-    first, second, forest = (f(None, "") for f in (registered.boosted, registered.second_boosted, registered.forest))
-    assert (first.rounds, first.depth, first.step, first.min_child, first.patience) == (500, 8, 0.05, 20, 50)
-    assert (second.rounds, second.depth, second.step, second.min_child) == (500, 8, 0.05, 1)
-    assert (forest.trees, forest.depth, forest.min_child) == (300, 15, 5)
+    sf_dir = "/root/testdata/sf0.001"
+    for query in (registered.boosted_scores, registered.forest_scores):
+        got = query(spark, sf_dir).toPandas()
+        assert len(got) > 1000 and np.allclose(got[["p0", "p1", "p2"]].sum(axis=1), 1)
+    model = registered.boosted(spark, sf_dir)
+    assert len(model.trees[0]) < len(model.losses) < models.FIRST_BOOST.rounds
+    assert len(registered.forest(spark, sf_dir).trees[0]) == 300
 
 
 def test_registered_clusterings_run_until_they_converge(monkeypatch):
