@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskgrove.catalog.models import prepared
+from riskgrove.catalog.models import _once, prepared
 from riskgrove.catalog.registry import over_jobs, r, register, rounded, sql_text
 from riskgrove.functions.binning import cut
-from riskgrove.operators import cluster as C, crosstab as A, select as Q
+from riskgrove.operators import centres, cluster as C, crosstab as A, select as Q
 from riskgrove.operators.common import distinct_levels
 from riskgrove.operators.encode import standardise
 from riskgrove.sources import schema as S
@@ -225,10 +226,6 @@ def vectors(spark, sf_dir, *keep: str):
     return C.scaled_vectors(ready.rows, ready.features, list(keep))
 
 
-def _dims(spark, sf_dir) -> int:
-    return len(prepared(spark, sf_dir).features)
-
-
 @register("c01_pca_scores")
 def pca_scores(spark, sf_dir):
     scores, _ = C.pca(vectors(spark, sf_dir, "row_id"))
@@ -252,26 +249,60 @@ def pca_by_risk(spark, sf_dir):
     )
 
 
+def swept(spark, sf_dir):
+    """All k-means models of the sweep, fitted once for all queries that look at them."""
+    fit = lambda: C.fit_kmeans_sweep(vectors(spark, sf_dir), SWEEP, STARTS)
+    return _once(spark, sf_dir, "k-means", fit)
+
+
+def mixtures(spark, sf_dir):
+    return _once(spark, sf_dir, "mixtures", lambda: C.fit_gmm_sweep(vectors(spark, sf_dir), MIXTURES))
+
+
 @register("c03_kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
-    data = vectors(spark, sf_dir).persist()
-    try:
-        return C.kmeans_sweep(data, SWEEP, seeds=STARTS, dims=_dims(spark, sf_dir))
-    finally:
-        data.unpersist()
+    return C.kmeans_table(spark, swept(spark, sf_dir))
+
+
+def best_clusters(spark, sf_dir):
+    best = Q.best_row(kmeans_sweep(spark, sf_dir), "silhouette").first()["k"]
+    own = centres.nearest(swept(spark, sf_dir).models[best].centres, F.col("features"))
+    return best, vectors(spark, sf_dir, "row_id").select("row_id", own.alias("cluster"))
 
 
 @register("c04_best_clustering")
 def best_clustering(spark, sf_dir):
-    data = vectors(spark, sf_dir, "row_id")
-    kept = data.persist()
-    try:
-        table = C.kmeans_sweep(kept, SWEEP, seeds=STARTS, dims=_dims(spark, sf_dir))
-        best = Q.best_row(table, "silhouette").first()["k"]
-        model = C.fit_kmeans(kept, best, seeds=STARTS)
-    finally:
-        kept.unpersist()
-    return model.transform(data).select("row_id", F.col("prediction").alias("cluster"))
+    return best_clusters(spark, sf_dir)[1]
+
+
+@register(
+    "c04_clustering_check",
+    over_jobs(" SELECT count(*) AS n, CAST(0 AS BIGINT) AS unlabelled, true AS falls, true AS inertia_agrees FROM jobs"),
+)
+def clustering_check(spark, sf_dir):
+    """Rows, rows without a valid cluster, whether inertia falls with k, and whether the inertia of
+    the labels is that of the sweep."""
+    best, labels = best_clusters(spark, sf_dir)
+    model = swept(spark, sf_dir).models[best]
+    inertias = [r[1] for r in swept(spark, sf_dir).records]
+    falls = all(a >= b for a, b in zip(inertias, inertias[1:]))
+    off = F.aggregate(
+        F.zip_with(
+            vector_to_array("features"),
+            F.get(F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.centres]), F.col("cluster")),
+            lambda a, b: (a - b) * (a - b),
+        ),
+        F.lit(0.0),
+        lambda a, b: a + b,
+    )
+    rows = vectors(spark, sf_dir, "row_id").join(labels, "row_id", "left")
+    valid = F.coalesce(F.col("cluster").between(0, best - 1), F.lit(False))
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.count_if(~valid).alias("unlabelled"),
+        F.lit(falls).alias("falls"),
+        (F.abs(F.sum(off) / F.lit(model.inertia) - 1) < 1e-6).alias("inertia_agrees"),
+    )
 
 
 @register("c05_squared_silhouette")
@@ -283,20 +314,29 @@ def squared_silhouette(spark, sf_dir):
 
 @register("c09_gmm_sweep")
 def gmm_sweep(spark, sf_dir):
-    data = vectors(spark, sf_dir).persist()
-    try:
-        return C.gmm_sweep(data, MIXTURES)
-    finally:
-        data.unpersist()
+    return C.gmm_table(vectors(spark, sf_dir), mixtures(spark, sf_dir))
+
+
+def gmm_rows(spark, sf_dir):
+    best = Q.best_row(gmm_sweep(spark, sf_dir), "bic", largest=False).first()["k"]
+    own = centres.likeliest(mixtures(spark, sf_dir)[best], F.col("features"))
+    return vectors(spark, sf_dir, "row_id").select("row_id", own.alias("cluster"))
 
 
 @register("c09_gmm_labels")
 def gmm_labels(spark, sf_dir):
-    data = vectors(spark, sf_dir, "row_id")
-    kept = data.persist()
-    try:
-        best = Q.best_row(C.gmm_sweep(kept, MIXTURES), "bic", largest=False).first()["k"]
-        model = C.fit_gmm(kept, best)
-    finally:
-        kept.unpersist()
-    return model.transform(data).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+    return gmm_rows(spark, sf_dir).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@register(
+    "c09_gmm_check",
+    over_jobs(" SELECT count(*) AS n, CAST(0 AS BIGINT) AS unlabelled, true AS likelihood_rises FROM jobs"),
+)
+def gmm_check(spark, sf_dir):
+    """Rows, rows without a component, and whether no round of any mixture lost likelihood."""
+    paths = [m.path for m in mixtures(spark, sf_dir).values()]
+    rises = all(b >= a - 1e-6 for path in paths for a, b in zip(path, path[1:]))
+    valid = F.coalesce(F.col("cluster").between(0, max(MIXTURES) - 1), F.lit(False))
+    return gmm_rows(spark, sf_dir).agg(
+        F.count("*").alias("n"), F.count_if(~valid).alias("unlabelled"), F.lit(rises).alias("likelihood_rises")
+    )

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskgrove.operators import centres
 from riskgrove.operators.crosstab import group_means, row_shares
 from riskgrove.operators.encode import min_max, standardise
 from riskgrove.operators.ranks import attach_small
@@ -159,36 +158,34 @@ def pca(vectors: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
     return scores.withColumns(named).drop("pc", "__pc"), shares_of
 
 
-def fit_kmeans(vectors: DataFrame, k: int, seeds: list[int], max_iter: int = 300):
-    """The best of several starts by training cost."""
-    models = [KMeans(k=k, seed=s, maxIter=max_iter).fit(vectors) for s in seeds]
-    return min(models, key=lambda m: m.summary.trainingCost)
+def start_sample(vectors: DataFrame, rows: int = centres.START_ROWS) -> np.ndarray:
+    """A repeatable sample of fixed size, from which starts are chosen."""
+    hashed = vectors.select(vector_to_array("features").alias("x")).withColumn("h", F.xxhash64("x"))
+    found = hashed.orderBy("h", "x").limit(rows).select("x").toArrow().column("x").combine_chunks()
+    return found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1)
 
 
-def _vector_spread(labelled: DataFrame, dims: int) -> DataFrame:
-    cells = vector_to_array("features")
-    return labelled.select("prediction", *[cells[i].alias(f"f{i}") for i in range(dims)])
+def fit_kmeans_sweep(vectors: DataFrame, ks: list[int], seeds: list[int], max_iter: int = 300) -> centres.Sweep:
+    """The best of several starts for each k; all of them share each pass over the vectors."""
+    blocks = centres.packed(vectors)
+    try:
+        return centres.kmeans_sweep(blocks, start_sample(vectors), ks, seeds, max_iter)
+    finally:
+        blocks.unpersist()
 
 
-def kmeans_sweep(
-    vectors: DataFrame, ks: list[int], seeds: list[int], max_iter: int = 300, dims: int | None = None
-) -> DataFrame:
+def kmeans_table(spark, sweep: centres.Sweep) -> DataFrame:
+    return spark.createDataFrame(
+        sweep.records, "k int, inertia double, silhouette double, calinski_harabasz double"
+    )
+
+
+def kmeans_sweep(vectors: DataFrame, ks: list[int], seeds: list[int], max_iter: int = 300) -> DataFrame:
     """(k, inertia, silhouette, calinski_harabasz) of the best start per k.
 
     The silhouette is over all rows with squared Euclidean distance.
     """
-    dims = dims or len(vectors.first()["features"])
-    records = []
-    for k in ks:
-        model = fit_kmeans(vectors, k, seeds, max_iter)
-        labelled = model.transform(vectors)
-        silhouette = ClusteringEvaluator().evaluate(labelled)
-        wide = _vector_spread(labelled, dims)
-        ch = calinski_harabasz(wide, [c for c in wide.columns if c != "prediction"], "prediction").first()[0]
-        records.append((k, float(model.summary.trainingCost), float(silhouette), float(ch)))
-    return vectors.sparkSession.createDataFrame(
-        records, "k int, inertia double, silhouette double, calinski_harabasz double"
-    )
+    return kmeans_table(vectors.sparkSession, fit_kmeans_sweep(vectors, ks, seeds, max_iter))
 
 
 def information_criteria(log_likelihood: float, k: int, dims: int, n: int) -> tuple[float, float]:
@@ -197,19 +194,29 @@ def information_criteria(log_likelihood: float, k: int, dims: int, n: int) -> tu
     return -2 * log_likelihood + free * float(np.log(n)), -2 * log_likelihood + 2 * free
 
 
-def gmm_sweep(vectors: DataFrame, ks: list[int], seed: int = 42, max_iter: int = 100) -> DataFrame:
+def fit_gmm_sweep(
+    vectors: DataFrame, ks: list[int], seed: int = 42, max_iter: int = 100
+) -> dict[int, centres.Mixture]:
+    """A mixture for each number of components, from k-means with ten starts; shared passes."""
+    blocks = centres.packed(vectors)
+    try:
+        found = centres.kmeans_sweep(blocks, start_sample(vectors), ks, [*range(seed, seed + 10)])
+        return dict(zip(ks, centres.gmm_sweep(blocks, [found.models[k].centres for k in ks], max_iter)))
+    finally:
+        blocks.unpersist()
+
+
+def gmm_table(vectors: DataFrame, mixtures: dict[int, centres.Mixture]) -> DataFrame:
     """(k, log_likelihood, bic, aic) per number of components."""
-    first = vectors.first()
-    dims, n = len(first["features"]), vectors.count()
-    records = []
-    for k in ks:
-        model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(vectors)
-        ll = float(model.summary.logLikelihood)
-        records.append((k, ll, *information_criteria(ll, k, dims, n)))
+    n = vectors.count()
+    records = [
+        (k, m.log_likelihood, *information_criteria(m.log_likelihood, k, m.means.shape[1], n))
+        for k, m in mixtures.items()
+    ]
     return vectors.sparkSession.createDataFrame(
         records, "k int, log_likelihood double, bic double, aic double"
     )
 
 
-def fit_gmm(vectors: DataFrame, k: int, seed: int = 42, max_iter: int = 100):
-    return GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(vectors)
+def gmm_sweep(vectors: DataFrame, ks: list[int], seed: int = 42, max_iter: int = 100) -> DataFrame:
+    return gmm_table(vectors, fit_gmm_sweep(vectors, ks, seed, max_iter))

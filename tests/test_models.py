@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrove.operators import attribution, cluster, models, split, trees, treeshap, tuning
+from riskgrove.operators import attribution, centres, cluster, models, split, trees, treeshap, tuning
 
 CLASSES = [0, 1, 2]
 FEATURES = ["a", "b", "c", "d"]
@@ -259,38 +259,6 @@ def test_registered_ensembles_fit(spark):
     assert len(registered.forest(spark, sf_dir).trees[0]) == 300
 
 
-def test_registered_clusterings_run_until_they_converge(monkeypatch):
-    from inspect import signature
-    from unittest.mock import MagicMock
-
-    from riskgrove.catalog import clusters as registered
-
-    fits = []
-
-    def recorded(operator):
-        def call(*args, **named):
-            whole = signature(operator).bind(*args, **named)
-            whole.apply_defaults()
-            fits.append((len(whole.arguments.get("seeds", [1])), whole.arguments["max_iter"]))
-            return MagicMock()
-
-        return call
-
-    for name in ("kmeans_sweep", "fit_kmeans", "gmm_sweep", "fit_gmm"):
-        monkeypatch.setattr(cluster, name, recorded(getattr(cluster, name)))
-    for name in ("vectors", "_dims", "Q", "F"):
-        monkeypatch.setattr(registered, name, MagicMock())
-    for query, want in (
-        (registered.kmeans_sweep, [(10, 300)]),
-        (registered.best_clustering, [(10, 300)] * 2),
-        (registered.gmm_sweep, [(1, 100)]),
-        (registered.gmm_labels, [(1, 100)] * 2),
-    ):
-        fits.clear()
-        query(None, "")
-        assert fits == want
-
-
 def test_grid_points():
     assert len(tuning.grid_points({"a": [1, 2], "b": [1, 2], "c": [1, 2], "d": [1, 2]})) == 16
 
@@ -304,6 +272,55 @@ def test_kmeans_inertia_falls_and_criteria_differ_by_rule(rows):
     assert mix["bic"] - mix["aic"] == pytest.approx(free * (np.log(400) - 2))
 
 
+def plain_lloyd(x, start, tol):
+    at = start.copy()
+    while True:
+        own = ((x[:, None] - at[None]) ** 2).sum(-1).argmin(1)
+        new = np.array([x[own == c].mean(0) if (own == c).any() else at[c] for c in range(len(at))])
+        if ((new - at) ** 2).sum() <= tol:
+            return at, own
+        at = new
+
+
+def test_kmeans_equals_plain_rounds(rows):
+    vectors = cluster.scaled_vectors(rows, FEATURES, ["k"]).persist()
+    x = np.stack([r.features.toArray() for r in vectors.orderBy("k").collect()])
+    sweep = cluster.fit_kmeans_sweep(vectors, [2, 5], seeds=[1, 2, 3])
+    sample = cluster.start_sample(vectors)
+    assert len(sample) == 400
+    for k, model in sweep.models.items():
+        fits = [plain_lloyd(x, centres.spread_starts(sample, k, s), 1e-4 * x.var(axis=0).mean()) for s in (1, 2, 3)]
+        inertias = [((x - at[own]) ** 2).sum() for at, own in fits]
+        assert model.inertia == pytest.approx(min(inertias))
+        at, own = fits[int(np.argmin(inertias))]
+        got = vectors.select("k", centres.nearest(model.centres, F.col("features")).alias("c")).orderBy("k").toPandas()
+        assert got.c.tolist() == own.tolist()
+        gap = ((x[:, None] - x[None]) ** 2).sum(-1)
+        s = []
+        for i in range(len(x)):
+            a = gap[i, own == own[i]].sum() / max((own == own[i]).sum() - 1, 1)
+            b = min(gap[i, own == c].mean() for c in range(k) if c != own[i])
+            s.append((b - a) / max(a, b))
+        record = next(r for r in sweep.records if r[0] == k)
+        assert record[2] == pytest.approx(np.mean(s), rel=1e-9)
+        between = sum((own == c).sum() * ((x[own == c].mean(0) - x.mean(0)) ** 2).sum() for c in range(k))
+        within = sum(((x[own == c] - x[own == c].mean(0)) ** 2).sum() for c in range(k))
+        assert record[3] == pytest.approx(between / (k - 1) / (within / (400 - k)), rel=0.02)
+
+
+def test_mixtures_keep_their_floor_with_constant_and_collinear_columns(spark):
+    rng = np.random.default_rng(4)
+    a = np.concatenate([rng.normal(-4, 1, 300), rng.normal(4, 1, 300)])
+    frame = pd.DataFrame({"a": a, "b": 2 * a, "c": 1.0, "d": (a > 0).astype(float), "k": np.arange(600)})
+    vectors = cluster.scaled_vectors(spark.createDataFrame(frame), ["a", "b", "c", "d"], ["k"]).persist()
+    found = cluster.fit_gmm_sweep(vectors, [2, 3, 4])
+    for m in found.values():
+        assert np.isfinite(m.log_likelihood) and all(b >= a - 1e-6 for a, b in zip(m.path, m.path[1:]))
+        assert m.weights.sum() == pytest.approx(1)
+    got = vectors.select("k", centres.likeliest(found[2], F.col("features")).alias("c")).toPandas().sort_values("k")
+    assert got.c.nunique() == 2 and (got.c.to_numpy() == got.c.to_numpy()[0]).tolist() == (a < 0).tolist()
+
+
 def test_pca_scores_are_centred_and_uncorrelated(rows):
     scores, parts = cluster.pca(cluster.scaled_vectors(rows, FEATURES, ["k"]))
     frame = scores.toPandas()
