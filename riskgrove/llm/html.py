@@ -11,7 +11,9 @@ is known: a mark does not count on an element that wraps the article itself.
 
 from __future__ import annotations
 
+import heapq
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -73,28 +75,77 @@ HEAD = frozenset(("head", "title"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "li", "dd"))
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
-    re.DOTALL,
-)
+_SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
+#: Levels that the points of a block reach upwards, so deep pages take time in proportion.
+REACH = 24
+
+
+class Ends:
+    """Where tags end, in time linear in the page.
+
+    A tag ends at the first > outside of quotes, or with the page; a tag with a quote that is never
+    closed has no end and is text. What was found behind a closing quote is remembered, and so is
+    the stretch in front of the next stop.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {q: source.rfind(q) for q in "\"'"}
+        self.known: dict[int, int] = {}
+        self.clear = (0, -1)  # from here up to the next stop there is none
+
+    def _stop(self, at: int) -> int:
+        low, stop = self.clear
+        if not low <= at <= stop:
+            found = _STOP.search(self.source, at)
+            stop = found.start() if found else len(self.source)
+            self.clear = (at, stop)
+        return stop
+
+    def of(self, at: int) -> int:
+        """The place behind the tag whose attributes begin here, -1 if it has no end."""
+        passed = []
+        while True:
+            if at in self.known:
+                end = self.known[at]
+                break
+            passed.append(at)
+            stop = self._stop(at)
+            if stop >= len(self.source):
+                end = stop
+                break
+            mark = self.source[stop]
+            if mark == ">":
+                end = stop + 1
+                break
+            if stop >= self.last[mark]:
+                end = -1
+                break
+            at = self.source.find(mark, stop + 1) + 1
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
 
 class Node:
     """An element. ``cut`` ones hold no text, ``out`` ones none of the article. ``near`` is the
     nearest marked element from here up, ``inline`` the same within a run of inline elements,
-    ``likely`` the outermost article or main."""
+    ``block`` the nearest element that is not inline, ``likely`` the outermost article or main."""
 
-    __slots__ = ("tag", "parent", "cut", "mark", "near", "inline", "likely", "out", "points", "chars", "linked")
+    __slots__ = (
+        "tag", "parent", "cut", "mark", "near", "inline", "block", "likely", "out", "kept", "points", "chars", "linked"
+    )
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, mark: int):
         self.tag, self.parent, self.cut, self.mark, self.out = tag, parent, cut, mark, False
         self.near = self if mark else parent.near if parent is not None else None
-        self.inline = None
+        self.inline, self.block, self.kept = None, self, False
         if tag in INLINE:
-            self.inline = self if mark else parent.inline
+            self.inline, self.block = self if mark else parent.inline, parent.block
         self.likely = parent.likely if parent is not None else None
         if tag in LIKELY and self.likely is None:
             self.likely = self
@@ -109,29 +160,38 @@ class Page:
         self.nodes = [self.root]
         self.blocks: list[tuple[Node, str, int]] = []
         self._open = [self.root]
+        self._depths: dict[str, list[int]] = {}  # of the open elements of each tag
+        self._blocks: list[int] = [0]  # of the open elements that are not inline
         self._pieces: list[tuple[str, bool, Node | None]] = []
         self._links = 0
         self._read(source)
 
     def _read(self, source: str) -> None:
-        at, end = 0, len(source)
+        at, end, ends = 0, len(source), Ends(source)
         while at < end:
-            token = _TOKEN.search(source, at)
-            if token is None:
+            start = source.find("<", at)
+            if start < 0:
                 self._text(source[at:])
                 break
-            self._text(source[at : token.start()])
-            at = token.end()
-            name = (token[2] or "").lower()
-            if not name:
+            skipped, tag = _SKIPPED.match(source, start), _NAME.match(source, start)
+            stop = skipped.end() if skipped else ends.of(tag.end()) if tag else -1
+            if stop < 0:  # no markup
+                self._text(source[at : start + 1])
+                at = start + 1
+                continue
+            self._text(source[at:start])
+            at = stop
+            if skipped:
                 continue
-            if token[1]:
+            name = tag[2].lower()
+            if tag[1]:
                 self._close(name)
                 continue
-            self._start(name, token[3] or "")
+            attributes = source[tag.end() : stop]
+            self._start(name, attributes[:-1] if attributes.endswith(">") else attributes)
             if name in RAW:  # its content holds no markup
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
-                at = stop.end() if stop else end
+                found = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
+                at = found.end() if found else end
                 self._close(name)
         self._flush()
 
@@ -150,9 +210,7 @@ class Page:
             text = _SPACE.sub(" ", "".join(p for p, _ in pieces)).strip()
             if text:
                 linked = sum(len(p.strip()) for p, inside in pieces if inside)
-                node = marked or self._open[-1]
-                while node is not marked and node.tag in INLINE and node.parent is not None:
-                    node = node.parent
+                node = marked or self._open[-1].block
                 self.blocks.append((node, text, min(linked, len(text))))
         self._pieces = []
 
@@ -177,6 +235,9 @@ class Page:
             mark = 0 if cut else self._mark(name, named)
         node = Node(name, parent, cut, mark)
         self.nodes.append(node)
+        self._depths.setdefault(name, []).append(len(self._open))
+        if name not in INLINE:
+            self._blocks.append(len(self._open))
         self._open.append(node)
         self._links += name == "a"
 
@@ -230,7 +291,7 @@ class Page:
             if node.mark == SOFT or holds[node]:
                 weight[up[node]] += weight[node]
         total = weight[none]
-        edge = below[none][:]
+        edge = below[none]
 
         def wraps(m: Node) -> bool:
             if not weight[m]:
@@ -241,61 +302,71 @@ class Page:
                 return True
             return m.mark != FIXED and not free
 
-        lifted = set()
-        while found := max(filter(wraps, edge), key=weight.get, default=None):
+        # What does not wrap now never will, as free and likely only grow: each mark is seen once.
+        lifted, count = set(), itertools.count()
+        heap = [(-weight[m], next(count), m) for m in edge]
+        heapq.heapify(heap)
+        while heap:
+            found = heapq.heappop(heap)[2]
+            if not wraps(found):
+                continue
             lifted.add(found)
-            edge.remove(found)
-            edge += below[found]
+            for m in below[found]:
+                heapq.heappush(heap, (-weight[m], next(count), m))
             free += own[found]
             likely += holds[found] - sum(holds[m] for m in below[found])
         for node in self.nodes:
             node.out = node.mark > 0 and node not in lifted or node.parent is not None and node.parent.out
         return [b for b in self.blocks if not b[0].out]
 
+    def _deepest(self, names: set[str]) -> int:
+        return max((self._depths[n][-1] for n in names if self._depths.get(n)), default=0)
+
     def _pop(self, names: set[str], limit: set[str]) -> None:
-        for depth in range(len(self._open) - 1, 0, -1):
-            tag = self._open[depth].tag
-            if tag in names:
-                self._cut(depth)
-                return
-            if tag in limit:
-                return
+        depth = self._deepest(names)
+        if depth and depth >= self._deepest(limit):
+            self._cut(depth)
 
     def _close(self, name: str) -> None:
         if name not in INLINE:
             self._flush()
-        for depth in range(len(self._open) - 1, 0, -1):
-            if self._open[depth].tag == name:
-                self._cut(depth)
-                return
-            if name in INLINE and self._open[depth].tag not in INLINE:
-                return
+        depth = self._deepest({name})
+        if depth and (name not in INLINE or depth > self._blocks[-1]):
+            self._cut(depth)
 
     def _cut(self, depth: int) -> None:
-        self._links -= sum(n.tag == "a" for n in self._open[depth:])
+        for node in reversed(self._open[depth:]):
+            self._links -= node.tag == "a"
+            self._depths[node.tag].pop()
+            if node.tag not in INLINE:
+                self._blocks.pop()
         del self._open[depth:]
 
 
 def main_text(source: str) -> str:
-    """The blocks of the best container and its like siblings, joined by blank lines."""
+    """The blocks of the best container and its like siblings, joined by blank lines.
+
+    It takes time in proportion to the page; points reach ``REACH`` levels up.
+    """
     page = Page(source)
     blocks = page.article_blocks()
     if not blocks:
         return ""
     for node, text, linked in blocks:
-        up: Node | None = node
-        while up is not None:
-            up.chars += len(text)
-            up.linked += linked
-            up = up.parent
+        node.chars += len(text)
+        node.linked += linked
         points = _points(node, text, linked)
         if not points:
             continue
-        up = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
+        up: Node | None = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
         step = 1
-        while up is not None:
+        while up is not None and step <= REACH:
             up.points += points / step
             up, step = up.parent, step + 1
+    for node in reversed(page.nodes):  # children come after their parents
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
     best, most = page.root, -1.0
     for node in page.nodes:
         if node.chars and not node.out and node.tag not in PARAGRAPHS and node.tag not in HEADINGS:
@@ -306,7 +377,7 @@ def main_text(source: str) -> str:
     best = whole or best  # a part of an article stands for all of it
     while not whole and best.parent is not None and best.parent.tag not in TOP and best.parent.chars == best.chars:
         best = best.parent  # a wrapper of nothing else
-    kept = {id(best)}
+    best.kept = True
     if best.parent is not None and best.tag not in TOP:
         least = max(10.0, most * 0.2)
         for node in page.nodes:
@@ -316,16 +387,10 @@ def main_text(source: str) -> str:
                 like = _score(node) >= least if whole else density < 0.25
                 if node.tag == "p" or node.tag in HEADINGS:
                     like = like or density < 0.25 and (node.chars > 80 or node.tag in HEADINGS) or not node.linked
-                if like:
-                    kept.add(id(node))
-    out = []
-    for node, text, _ in blocks:
-        up = node
-        while up is not None and id(up) not in kept:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n\n".join(out)
+                node.kept = node.kept or like
+    for node in page.nodes:
+        node.kept = node.kept or node.parent is not None and node.parent.kept
+    return "\n\n".join(text for node, text, _ in blocks if node.kept)
 
 
 def _points(node: Node, text: str, linked: int) -> float:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -459,3 +460,29 @@ def test_stages_keep_columns_of_odd_tables(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, rows, folder).columns == NAMES
         assert corpus_pipeline.STAGES[-1][1](spark, rows, folder).count() <= rows.count()
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>a" * 180_000,
+        '<a "' * 250_000 + "'",
+        '<div class="menu">a' * 52_000,
+        '<div class="menu">a<div class="menu">b</div>' * 22_000,
+        "<a><div>" + "<i>" * 150_000 + "</a>" * 120_000,
+        "<x>" * 150_000 + "</y>" * 150_000,
+        "<i>" * 100_000 + "x<p></p>" * 80_000,
+        "<a " * 330_000 + '"',
+    ],
+    ids=["nested", "open quotes", "nested marks", "wide marks", "closing inline", "never opened", "deep inline", "one quote"],
+)
+def test_broken_pages_of_a_megabyte_take_linear_time(source):
+    start = time.process_time()
+    html.main_text(source)
+    assert time.process_time() - start < 15  # 2 to 5 s; with the square of the length it were hours
+
+
+def test_tags_end_outside_of_quotes():
+    assert html.main_text("<p title='a > b'>kept</p>") == "kept"
+    assert html.main_text("<p>one <a 'never closed>two</p>") == "one <a 'never closed>two"
+    assert html.main_text("<p>a < b</p><p>c</p><p") == "a < b\n\nc"
