@@ -63,11 +63,11 @@ def class_importance(spark, sf_dir):
         + _IMPORTANCE
         + f""", best AS (SELECT feature, row_number() OVER (ORDER BY m DESC, feature) AS rank FROM per_class WHERE class = 2)
         SELECT row_id, feature, CAST(rank AS INT) AS rank, {r('value')} AS value, {r('shap')} AS shap
-        FROM shap JOIN best USING (feature) WHERE class = 2 AND rank <= 2"""
+        FROM shap JOIN best USING (feature) WHERE class = 2 AND rank <= 20"""
     ),
 )
 def summary(spark, sf_dir):
-    return rounded(H.summary(shap_table(spark, sf_dir), 2, n=2))
+    return rounded(H.summary(shap_table(spark, sf_dir), 2))
 
 
 def _waterfall_sql(target: int) -> str:
@@ -75,16 +75,16 @@ def _waterfall_sql(target: int) -> str:
         f""", {SCORED_SQL}{_SHAP}, hit AS (SELECT row_id FROM scored WHERE prediction = {target} ORDER BY row_id LIMIT 1),
         ranked AS (SELECT shap.*, row_number() OVER (ORDER BY abs(shap) DESC, feature) AS rn FROM shap JOIN hit USING (row_id)
                    WHERE class = {target})
-        SELECT row_id, CAST(least(rn, 4) AS INT) AS rank, CASE WHEN least(rn, 4) > 3 THEN 'rest' ELSE any_value(feature) END AS feature,
-               {r('coalesce(CASE WHEN least(rn, 4) <= 3 THEN any_value(value) END, -1e0)')} AS value, {r('sum(shap)')} AS shap,
+        SELECT row_id, CAST(least(rn, 16) AS INT) AS rank, CASE WHEN least(rn, 16) > 15 THEN 'rest' ELSE any_value(feature) END AS feature,
+               {r('coalesce(CASE WHEN least(rn, 16) <= 15 THEN any_value(value) END, -1e0)')} AS value, {r('sum(shap)')} AS shap,
                {r('(SELECT avg(risk) FROM jobs)')} AS base
-        FROM ranked GROUP BY row_id, least(rn, 4)"""
+        FROM ranked GROUP BY row_id, least(rn, 16)"""
     )
 
 
 def _waterfall(spark, sf_dir, target, fallback):
     base = jobs(spark, sf_dir, "risk").agg(F.avg("risk")).scalar()
-    out = H.waterfall(shap_table(spark, sf_dir), predictions(spark, sf_dir), target, base, fallback, n=3)
+    out = H.waterfall(shap_table(spark, sf_dir), predictions(spark, sf_dir), target, base, fallback)
     return rounded(out.withColumn("value", F.coalesce("value", F.lit(-1.0))))
 
 
@@ -147,8 +147,8 @@ def high_low_comparison(spark, sf_dir):
 
 @register(
     "o05_top_differences",
-    over_jobs(_COMPARE + f"SELECT feature, {r('h - l')} AS shap_diff FROM compared ORDER BY abs(h - l) DESC, feature LIMIT 3"),
+    over_jobs(_COMPARE + f"SELECT feature, {r('h - l')} AS shap_diff FROM compared ORDER BY abs(h - l) DESC, feature LIMIT 15"),
 )
 def top_differences(spark, sf_dir):
     table = H.high_low_comparison(shap_table(spark, sf_dir), predictions(spark, sf_dir))
-    return rounded(Q.top_absolute(table.select("feature", "shap_diff"), "shap_diff", "feature", 3))
+    return rounded(Q.top_absolute(table.select("feature", "shap_diff"), "shap_diff", "feature", 15))

@@ -200,16 +200,70 @@ def sampled_silhouette(spark, sf_dir):
     return rounded(C.sampled_silhouette(rows, VECTOR, "cluster", "row_id", n=_SAMPLE))
 
 
-@register("c10_cluster_bundle", over_jobs(
-    f"""{_LABELLED} SELECT cluster, count(*) AS n, {_E('avg(risk)')} AS risk_mean, {_E('avg(salary)')} AS salary_mean,
-    {r("round_even(count(CASE WHEN ai_impact = 'High' THEN 1 END) * 1e0 / count(*), 3) * 100")} AS high_impact_pct
-    FROM labelled GROUP BY cluster"""))
+_RADAR_SQL = ", ".join(
+    r(f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0e0 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END")
+    + f" AS radar_{c}"
+    for c in S.RADAR
+)
+
+
+def _bundle_shares(column: str, levels: list[str]) -> str:
+    return ", ".join(
+        r(f"round_even(count(CASE WHEN {column} = {sql_text(x)} THEN 1 END) * 1e0 / count(*), 3) * 100") + f' AS "{column}_{x}"'
+        for x in levels
+    )
+
+
+@register(
+    "c10_cluster_bundle",
+    over_jobs(
+        f"""{_LABELLED}, m AS (SELECT cluster, avg(risk) AS mean FROM labelled GROUP BY cluster),
+        means AS (SELECT cluster, {_MEANS} FROM labelled GROUP BY cluster),
+        radar AS (SELECT cluster, {_RADAR_SQL} FROM means),
+        best AS (SELECT arg_max(cluster, mean) AS highest, arg_min(cluster, mean) AS lowest FROM m),
+        titles AS (SELECT string_agg(job_title || ':' || n, '|' ORDER BY n DESC, job_title) AS top_titles
+                   FROM (SELECT job_title, count(*) AS n FROM labelled, best WHERE cluster = highest
+                         GROUP BY job_title ORDER BY n DESC, job_title LIMIT 15)),
+        stats AS (SELECT cluster, {_E('avg(risk)')} AS risk_mean, {_E('stddev_samp(risk)')} AS risk_std,
+          {_E('min(risk)')} AS risk_min, {_E('max(risk)')} AS risk_max, {_E('avg(salary)')} AS salary_mean,
+          {_E('avg(experience)')} AS experience_mean, {_E('avg(remote)')} AS remote_mean,
+          {_E('avg(diversity)')} AS diversity_mean, count(*) AS n, {_bundle_shares('industry', _INDUSTRIES)},
+          {_bundle_shares('ai_impact', S.IMPACT_ORDER)} FROM labelled GROUP BY cluster)
+        SELECT stats.*, radar.* EXCLUDE (cluster), stats.cluster = highest AS is_highest, stats.cluster = lowest AS is_lowest,
+               CASE WHEN stats.cluster = highest THEN top_titles ELSE '' END AS top_titles
+        FROM stats JOIN radar USING (cluster), best, titles"""
+    ),
+)
 def cluster_bundle(spark, sf_dir):
-    rows = labelled(spark, sf_dir, "risk", "salary", "remote", "diversity", "ai_impact")
-    stats = C.profile(rows).select("cluster", "n", "risk_mean", "salary_mean")
-    impact = C.shares(rows, "ai_impact", S.IMPACT_ORDER)
+    """Statistics, shares, radar, extremes and the highest cluster's titles, a row for each cluster."""
+    cols = list(dict.fromkeys(["risk", "salary", "remote", "diversity", "industry", "ai_impact", "job_title", *S.RADAR]))
+    rows = labelled(spark, sf_dir, *cols, heavy=True)
+    named = lambda table, prefix: table.select(
+        "cluster", *[F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in table.columns if c != "cluster"]
+    )
+    extreme = C.extreme_clusters(rows)
+    highest = extreme.select("highest").scalar()
+    top = Q.top_counts(rows.where(F.col("cluster") == highest), "job_title")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "job_title")))
+    text = F.array_join(
+        F.transform(listed, lambda t: F.concat(t["job_title"], F.lit(":"), (-t["m"]).cast("string"))), "|"
+    )
+    table = C.profile(rows)
+    for more in (
+        named(C.shares(rows, "industry", distinct_levels(rows, "industry")), "industry"),
+        named(C.shares(rows, "ai_impact", S.IMPACT_ORDER), "ai_impact"),
+        named(C.radar(rows, S.RADAR), "radar"),
+    ):
+        table = table.join(more, "cluster")
+    is_highest = F.col("cluster") == highest
     return rounded(
-        stats.join(impact.select("cluster", F.col("High").alias("high_impact_pct")), "cluster")
+        table.withColumns(
+            {
+                "is_highest": is_highest,
+                "is_lowest": F.col("cluster") == extreme.select("lowest").scalar(),
+                "top_titles": F.when(is_highest, top.agg(text).scalar()).otherwise(""),
+            }
+        )
     )
 
 

@@ -16,7 +16,7 @@ from riskgrove.catalog.registry import (
     sql_long,
 )
 from riskgrove.functions.binning import cut
-from riskgrove.operators import encode as E, select as Q
+from riskgrove.operators import encode as E, profile as P, select as Q
 from riskgrove.operators.common import distinct_levels
 from riskgrove.operators.information import mutual_information
 from riskgrove.plans.prepare import DUMMIES, feature_names, prepare
@@ -188,6 +188,23 @@ def feature_list(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
 
 
+@register(
+    "p13_matrix_quality",
+    over_jobs(
+        MATRIX_SQL
+        + "SELECT split, count(*) AS n_rows, CAST("
+        + " + ".join(f'count(*) - count("{c}")' for c in FEATURES)
+        + " AS BIGINT) AS n_missing, CAST("
+        + " + ".join(f'count(CASE WHEN isinf(CAST("{c}" AS DOUBLE)) THEN 1 END)' for c in FEATURES)
+        + " AS BIGINT) AS n_infinite FROM matrix GROUP BY split"
+    ),
+)
+def matrix_quality(spark, sf_dir):
+    """Missing and infinite cells of all features, by split."""
+    ready = prepare(jobs(spark, sf_dir))
+    return P.quality(ready.rows.select("split", *[F.col(c).cast("double").alias(c) for c in ready.features]), "split")
+
+
 @register("x10_feature_matrix", over_jobs(MATRIX_SQL + f"SELECT row_id, label, split, {ROUNDED_SQL} FROM matrix"))
 def feature_matrix(spark, sf_dir):
     ready = prepare(jobs(spark, sf_dir))

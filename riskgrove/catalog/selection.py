@@ -420,7 +420,7 @@ def top_predicted(spark, sf_dir):
     "o04_top_importances",
     over_jobs(
         f", long AS ({sql_long(S.NUMERIC, 'risk')}) SELECT \"column\" AS feature, {r('abs(corr(value, risk))', 9)} AS importance "
-        "FROM long GROUP BY ALL ORDER BY importance DESC, feature LIMIT 4"
+        "FROM long GROUP BY ALL ORDER BY importance DESC, feature LIMIT 15"
     ),
 )
 def top_importances(spark, sf_dir):
@@ -430,7 +430,7 @@ def top_importances(spark, sf_dir):
     scores = long.unpivot(["risk"], S.NUMERIC, "feature", "value").groupBy("feature").agg(
         settled(F.abs(F.corr("value", "risk")), 9).alias("importance")
     )
-    return Q.top_rows(scores, [F.desc("importance"), "feature"], 4)
+    return Q.top_rows(scores, [F.desc("importance"), "feature"], 15)
 
 
 @register(

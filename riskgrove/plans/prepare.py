@@ -17,6 +17,7 @@ from riskgrove.operators.encode import (
     z_score,
 )
 from riskgrove.operators.split import stratified_split
+from riskgrove.session import shared_path
 from riskgrove.sources import schema as S
 
 DUMMIES = ["industry", "location"]
@@ -67,13 +68,17 @@ def prepare(
     """Features, labels and split of the analysis table.
 
     Encoders see the training rows only; ``fit_on='all'`` fits them before the split, as
-    published. Missing features become 0.
+    published. Missing features become 0. The table with its split is written to the shared folder.
     """
     levels = {c: distinct_levels(raw, c) for c in DUMMIES}
     rows = raw.withColumn(LABEL, cut("risk", S.RISK_EDGES, S.RISK_CODES))
     if tertiles:
         rows = qcut(rows, "risk", 3, [0, 1, 2], "label_tertile")
     rows = stratified_split(rows, LABEL, key, test_share, seed)
+    # Encoders, prior, z-score and scalers all read the split: it is computed once, as a table.
+    path = shared_path(rows.sparkSession, "split")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     fitted = rows if fit_on == "all" else rows.where(F.col("split") == "train")
     encoding = target_encoding(fitted, "job_title", S.TARGET)
     rows = rows.withColumns({**interactions(), **codes(apostrophe)})
