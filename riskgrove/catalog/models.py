@@ -6,6 +6,8 @@ queries look at the same model.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from riskgrove.catalog.profiles import split_sql
@@ -85,7 +87,8 @@ def searched(spark, sf_dir):
 
     def make():
         features = prepared(spark, sf_dir).features
-        return T.boosted_grid(_folded(spark, sf_dir, 3), features, CLASSES, L.TUNED_BOOST, GRID, 3, "row_id")
+        base = replace(L.TUNED_BOOST, rounds=L.GRID_ROUNDS)
+        return T.boosted_grid(_folded(spark, sf_dir, 3), features, CLASSES, base, GRID, 3, "row_id")
 
     return _once(spark, sf_dir, "grid", make)
 

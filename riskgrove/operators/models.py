@@ -66,7 +66,10 @@ class ForestProfile:
 FIRST_BOOST = BoostProfile()
 SECOND_BOOST = BoostProfile(leaves=0, min_child=0, min_hessian=1.0)
 FOREST = ForestProfile()
-TUNED_BOOST = BoostProfile(rounds=300, l1=0.0, l2=0.0, patience=10)
+TUNED_BOOST = BoostProfile(rounds=300, l1=0.0, l2=0.0, patience=5)
+
+#: Rounds of the registered grid search; its 48 fits share each round (see README for times).
+GRID_ROUNDS = 16
 
 
 @dataclass
