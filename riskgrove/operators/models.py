@@ -69,7 +69,7 @@ FOREST = ForestProfile()
 TUNED_BOOST = BoostProfile(rounds=300, l1=0.0, l2=0.0, patience=5)
 
 #: Rounds of the registered grid search; its 48 fits share each round (see README for times).
-GRID_ROUNDS = 16
+GRID_ROUNDS = 8
 
 
 @dataclass
