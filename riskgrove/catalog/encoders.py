@@ -18,7 +18,7 @@ from riskgrove.catalog.registry import (
 from riskgrove.functions.binning import cut
 from riskgrove.operators import encode as E, profile as P, select as Q
 from riskgrove.operators.common import distinct_levels
-from riskgrove.operators.information import mutual_information
+from riskgrove.operators.information import INSIDE, mutual_information, nearest_information
 from riskgrove.plans.prepare import DUMMIES, feature_names, prepare
 from riskgrove.session import shared_path
 from riskgrove.sources import files as IO, schema as S
@@ -259,3 +259,68 @@ def top_information(spark, sf_dir):
     ready = prepare(jobs(spark, sf_dir, heavy=True))
     found = mutual_information(ready.train, ready.features, "label")
     return rounded(Q.top_rows(found, [F.desc("mutual_info"), "feature"], 10))
+
+
+def _digamma_sql(x: str) -> str:
+    z, w = f"({x} + 1e1)", f"(1 / ({x} + 1e1) ** 2)"
+    steps = " - ".join(f"1 / ({x} + {i}e0)" for i in range(10))
+    series = f"{w} * (1 / 12e0 - {w} * (1 / 120e0 - {w} * (1 / 252e0 - {w} * (1 / 240e0 - {w} / 132))))"
+    return f"(ln({z}) - 0.5e0 / {z} - {series} - {steps})"
+
+
+def _nearest_sql(long: str) -> str:
+    """CTE ``info`` of the nearest-neighbour estimate (three neighbours), from an unpivot as above."""
+    return f""", long AS ({long}),
+        c AS (SELECT "column", label, value, count(*) AS ties FROM long WHERE value IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
+        s AS (SELECT *, CAST(sum(ties) OVER (PARTITION BY "column", label) AS BIGINT) AS nl FROM c QUALIFY nl > 1),
+        near AS (SELECT *, list({{'v': value, 'n': ties}}) OVER (PARTITION BY "column", label ORDER BY value
+                        ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near,
+                        CAST(sum(ties) OVER (PARTITION BY "column", value) AS BIGINT) AS same,
+                        CAST(sum(ties) OVER (PARTITION BY "column") AS BIGINT) AS total FROM s),
+        d AS (SELECT *, list_sort(flatten(list_transform(near, lambda e: list_transform(
+                        range(least(3, e.n - CASE WHEN e.v = value THEN 1 ELSE 0 END)), lambda i: abs(e.v - value)))))[least(3, nl - 1)] AS radius
+              FROM near),
+        ends AS (SELECT *, value - radius * {INSIDE!r}e0 AS lo, value + radius * {INSIDE!r}e0 AS hi FROM d),
+        upto AS (SELECT "column", value, CAST(sum(sum(ties)) OVER (PARTITION BY "column" ORDER BY value) AS BIGINT) AS upto
+                 FROM s GROUP BY "column", value),
+        met AS (SELECT e.*, CASE WHEN radius = 0 THEN ties ELSE least(3, nl - 1) END * 1e0 AS k,
+                       CASE WHEN radius = 0 THEN same ELSE h.upto - coalesce(l.upto, 0) END * 1e0 AS inside, nl * 1e0 AS of_label
+                FROM ends e ASOF LEFT JOIN upto h ON e."column" = h."column" AND e.hi > h.value
+                ASOF LEFT JOIN upto l ON e."column" = l."column" AND e.lo >= l.value),
+        info AS (SELECT "column" AS feature, greatest(0e0, any_value({_digamma_sql("total")})
+                        + sum(ties * ({_digamma_sql("k")} - {_digamma_sql("of_label")} - {_digamma_sql("inside")})) / any_value(total)) AS mi
+                 FROM met GROUP BY "column") """
+
+
+@register(
+    "l10_nearest_information",
+    over_jobs(
+        f", wide AS (SELECT *, salary / (experience + 1) AS salary_per_experience, {RISK_CODE_SQL} AS label FROM jobs)"
+        + _nearest_sql(sql_long(_MI_FEATURES, "label", "wide"))
+        + f"SELECT feature, {r('mi')} AS mutual_info FROM info"
+    ),
+)
+def nearest_info(spark, sf_dir):
+    rows = jobs(spark, sf_dir, "risk", *S.NUMERIC, heavy=True).withColumn(
+        "salary_per_experience", F.col("salary") / (F.col("experience") + 1)
+    ).withColumn("label", cut("risk", S.RISK_EDGES, S.RISK_CODES))
+    return rounded(nearest_information(rows, _MI_FEATURES, "label"))
+
+
+@register(
+    "l10_top_nearest_information",
+    over_jobs(
+        MATRIX_SQL
+        + _nearest_sql(
+            " UNION ALL ".join(
+                f"""SELECT label, '{c}' AS "column", CAST("{c}" AS DOUBLE) AS value FROM matrix WHERE split = 'train'"""
+                for c in FEATURES
+            )
+        )
+        + f"SELECT feature, {r('mi')} AS mutual_info FROM info ORDER BY mi DESC, feature LIMIT 10"
+    ),
+)
+def top_nearest_information(spark, sf_dir):
+    ready = prepare(jobs(spark, sf_dir, heavy=True))
+    found = nearest_information(ready.train, ready.features, "label")
+    return rounded(Q.top_rows(found, [F.desc("mutual_info"), "feature"], 10))

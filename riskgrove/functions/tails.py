@@ -1,4 +1,4 @@
-"""Tail probabilities for small result tables."""
+"""Tail probabilities for small result tables, and the digamma function of counts."""
 
 from __future__ import annotations
 
@@ -45,3 +45,13 @@ def chi2_upper(x: Column | str, k: Column | str) -> Column:
 
 def normal_two_sided(z: Column | str) -> Column:
     return F.pandas_udf(_normal_batch, "double")(as_column(z))
+
+
+def digamma(x: Column | str) -> Column:
+    """Digamma of a number above 0: ten steps of its recurrence, then the series for large numbers."""
+    x = as_column(x).cast("double")
+    z = x + 10
+    steps = sum((1 / (x + i) for i in range(1, 10)), 1 / x)
+    w = 1 / (z * z)
+    series = w * (1 / 12 - w * (1 / 120 - w * (1 / 252 - w * (1 / 240 - w / 132))))
+    return F.log(z) - 0.5 / z - series - steps
