@@ -18,8 +18,8 @@ from riskgrove.session import shared_path
 
 SEED = 42
 
-#: Rounds after which the margins of the rows are written to a table, which cuts their lineage. The
-#: driver's work on nested cached plans doubles with each round, so tables must not be far apart.
+#: Rounds after which the margins of the rows are written to a table, which cuts their lineage.
+#: With 20, the time of a round doubled from about the tenth on in a run at sf0.01 (see README).
 ROUNDS_PER_TABLE = 5
 
 #: Rows below which one more task for the blocks does not pay.
