@@ -18,9 +18,10 @@ from riskgrove.session import shared_path
 
 SEED = 42
 
-#: Rounds after which the margins of the rows are written to a table, which cuts their lineage.
-#: With 20, the time of a round doubled from about the tenth on in a run at sf0.01 (see README).
-ROUNDS_PER_TABLE = 5
+#: Rounds after which the margins of the rows are written to a table. Until then a round moves the
+#: margins of the last table by all trees since, so its plan has one step over a table, however many
+#: rounds there were.
+ROUNDS_PER_TABLE = 10
 
 #: Rows below which one more task for the blocks does not pay.
 ROWS_PER_TASK = 4_000
@@ -145,7 +146,7 @@ def fit_together(
     """Boost all fits side by side; returns the base margins.
 
     ``counts``: rows by tag and class. Each round is a pass over the blocks: the margins of every
-    row move by the last trees, the held-out loss and confusion are summed, and each class of each
+    row move by the trees since the last table, the held-out loss and confusion are summed, and each class of each
     fit that is not over grows a tree on its rows (softmax loss, gradient and hessian). A fit is
     over after its rounds or when ``patience`` rounds brought no gain; it leaves the passes then.
     """
@@ -161,17 +162,20 @@ def fit_together(
             yield batch.append_column("m", pa.array(m, pa.binary())).append_column("stats", pa.array([b""] * len(m), pa.binary()))
 
     kind = "x binary, y binary, tag binary, h binary, n long, m binary, stats binary"
-    state, old = blocks.mapInArrow(start, kind), None
+    table = blocks.mapInArrow(start, kind)
+    since: list[dict[int, list[T.Tree]]] = []  # trees of the rounds after the table
     new: dict[int, list[T.Tree]] = {}
     rounds = 0
     while True:
-        if rounds:
-            state = state.mapInArrow(_moved(new, fits, k, wide), kind)
-        if rounds and rounds % ROUNDS_PER_TABLE == 0:
+        state = table.mapInArrow(_moved(list(since), fits, k, wide), kind) if since else table
+        if len(since) >= ROUNDS_PER_TABLE:
             path = shared_path(spark, "margins")
             state.write.parquet(path)
-            state = spark.read.parquet(path)
-        state = state.persist(StorageLevel.MEMORY_AND_DISK)
+            table, since = spark.read.schema(state.schema).parquet(path), []
+            state = table
+        several = totals.sum() > local_rows
+        if several:  # more than one job reads it
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
         began = time.perf_counter()
         active = [i for i, f in enumerate(fits) if len(f.trees[0]) < f.profile.rounds and not f.over()]
         grown, stats = T.grow(
@@ -186,9 +190,8 @@ def fit_together(
             local_rows,
             partitions=max(1, min(2 * len(active) * k, 64)),
         )
-        if old is not None:
-            old.unpersist()
-        old = state
+        if several:
+            state.unpersist()
         if rounds and stats is not None:
             for i, f in enumerate(fits):
                 own = stats.reshape(len(fits), 2 + k * k)[i]
@@ -205,12 +208,12 @@ def fit_together(
         rounds += 1
         if not new:
             break
-    state.unpersist()
+        since.append(new)
     return base.tolist()
 
 
-def _moved(new: dict[int, list[T.Tree]], fits: list[Fit], k: int, wide: int):
-    """Move the margins by the newest trees and measure the held-out rows."""
+def _moved(since: list[dict[int, list[T.Tree]]], fits: list[Fit], k: int, wide: int):
+    """Move the margins by the trees of some rounds and measure the held-out rows of the last one."""
     steps = [f.profile.step for f in fits]
     held = [f.held for f in fits]
 
@@ -221,9 +224,11 @@ def _moved(new: dict[int, list[T.Tree]], fits: list[Fit], k: int, wide: int):
                 x, y, tag, _ = T.of_block(batch, r, wide)
                 m = np.frombuffer(batch.column("m")[r].as_py(), np.float32).reshape(len(steps), k, len(y)).copy()
                 s = np.zeros((len(steps), 2 + k * k))
-                for i, own in new.items():
-                    for c, tree in enumerate(own):
-                        m[i, c] += (steps[i] * tree.value[tree.leaf_of(x), 0]).astype(np.float32)
+                for new in since:
+                    for i, own in new.items():
+                        for c, tree in enumerate(own):
+                            m[i, c] += (steps[i] * tree.value[tree.leaf_of(x), 0]).astype(np.float32)
+                for i in since[-1]:
                     out = np.flatnonzero(tag == held[i])
                     if len(out):
                         p = softmax(m[i][:, out].astype(np.float64))
