@@ -14,6 +14,7 @@ from riskgrove.operators.ranks import (
     quantile_columns,
     running_counts,
 )
+from riskgrove.session import shared_path
 
 STRENGTH = [(0.3, "***"), (0.2, "**"), (0.1, "*")]
 SIGNIFICANCE = [(0.001, "***"), (0.01, "**"), (0.05, "*")]
@@ -49,16 +50,18 @@ def pearson_matrix(rows: DataFrame, cols: list[str], lower: bool = False) -> Dat
 def with_ranks(rows: DataFrame, cols: list[str]) -> DataFrame:
     """Replace columns by their average-tie ranks; rows with a null in any are left out.
 
-    Ranks are found per distinct value. Columns with few values get their ranks by a
-    broadcast of known size, the others by an equi-join on the value.
+    Ranks are found per distinct value, once for all columns, and kept as a table. Columns with few
+    values get their ranks by a broadcast of known size, the others by an equi-join on the value.
     """
     complete = rows.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     counts = long_form(complete, cols).groupBy("column", "value").agg(F.count("*").alias("ties"))
     counts = counts.withColumn("one", F.lit(1))
     ran = running_counts(counts, ["column"], "value", {"before": "ties", "seen": "one"})
-    few = ran.where(F.col("seen_all") <= SMALL_ROWS).select(
-        "column", "value", (F.col("before") + (F.col("ties") + 1) / 2).alias("rank")
-    )
+    ran = ran.select("column", "value", (F.col("before") + (F.col("ties") + 1) / 2).alias("rank"), "seen_all")
+    path = shared_path(rows.sparkSession, "ranks")
+    ran.write.partitionBy("column").parquet(path)
+    ran = rows.sparkSession.read.schema(ran.schema).parquet(path)
+    few = ran.where(F.col("seen_all") <= SMALL_ROWS).select("column", "value", "rank")
     small: dict[str, list] = {}
     for r in few.collect():
         small.setdefault(r["column"], []).append((r["value"], r["rank"]))
@@ -68,8 +71,8 @@ def with_ranks(rows: DataFrame, cols: list[str]) -> DataFrame:
             table = rows.sparkSession.createDataFrame(small[c], f"`{c}` double, `{c}__rank` double")
             out = out.join(F.broadcast(table), c)
         else:
-            table = average_ranks(complete.select(c), c).select(c, F.col("avg_rank").alias(f"{c}__rank"))
-            out = out.join(table, c)
+            own = ran.where(F.col("column") == c)
+            out = out.join(own.select(F.col("value").alias(c), F.col("rank").alias(f"{c}__rank")), c)
     return out.select(*[F.col(f"{c}__rank").alias(c) for c in cols])
 
 
