@@ -75,7 +75,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.link(table(spark, sf_dir, "conversations"))
     rows = rows.withColumn("reply_to", F.coalesce("reply_to", F.lit(-1).cast("long")))
-    return rows.select("conv_id", "turn", "role", "own_text", "n_quotes", "reply_to", "thread", "formatted")
+    return rows.select("conv_id", "turn", "role", "own_text", "n_quotes", "reply_to", "thread", "position", "formatted")
 
 
 # The given conversations hold no quoted line; the twin reads quotes all the same.
@@ -116,6 +116,7 @@ o AS (
 q AS (SELECT conv_id, turn, count(*) AS n_quotes FROM n WHERE level > 0 AND part = 0 AND unit <> '' GROUP BY ALL)
 SELECT conv_id, turn, role, own_text, coalesce(n_quotes, 0) AS n_quotes, coalesce(reply_to, -1) AS reply_to,
        coalesce(thread, turn) AS thread,
+       (dense_rank() OVER (PARTITION BY conv_id, coalesce(thread, turn) ORDER BY turn))::BIGINT - 1 AS position,
        '<|' || coalesce(role, '') || '|>' || chr(10) || own_text || chr(10) AS formatted
 FROM o LEFT JOIN q USING (conv_id, turn) LEFT JOIN k USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn)
 """

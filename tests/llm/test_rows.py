@@ -343,9 +343,36 @@ def test_quotes_of_odd_tables(spark):
     got = chat.link(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == 5 and sum(r.reply_to == 0 for r in got) == 2
     assert {r.own_text for r in got} == {"a", "b", ""}
+    assert {r.position for r in got if r.conv_id is None or r.turn is None} == {None}
+    assert sorted(r.position for r in got if r.conv_id == 1 and r.turn is not None) == [0, 1, 1]
     assert chat.link(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_a_giant_conversation_keeps_its_order_when_stored(spark):
+    rows = spark.range(3000).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+        F.expr("CASE WHEN id = 0 THEN 'root' ELSE concat('> ', CASE WHEN id < 9 THEN 'root' ELSE concat('n', id - 3) END, '\\nn', id) END").alias("text"),
+    )
+    path = shared_path(spark, "thread")
+    chat.link(rows.repartition(7)).write.parquet(path)
+    got = spark.read.parquet(path).orderBy("conv_id", "thread", "position").collect()
+    assert [r.turn for r in got] == list(range(3000)) and [r.position for r in got] == list(range(3000))
+    assert {r.thread for r in got} == {0}
+    assert all(r.reply_to == (0 if r.turn < 9 else r.turn - 3) for r in got[1:])
+
+
+def test_a_message_of_very_many_lines(spark):
+    many = "\n".join(f"{'> ' * (i % 3)}line {i}" for i in range(100_000))
+    marks = ">" * 200_000 + " deep"
+    rows = [(1, 0, "user", "line 1"), (1, 1, "user", many), (1, 2, "user", marks), (1, 3, "user", "> deep\nend")]
+    began = time.perf_counter()
+    got = {r.turn: r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].reply_to == 0 and got[1].n_quotes == 66_666
+    assert got[1].own_text.count("\n") == 33_333
+    assert got[2].own_text == "" and got[2].n_quotes == 1
+
+
 # ---- secrets -------------------------------------------------------------------------------
 
 
