@@ -306,9 +306,57 @@ def test_an_attempt_without_commit_does_not_count(spark):
     lost.write.mode("append").parquet(f"{store.path}/deltas")
     store.commit("a", rollup.measured(docs_of(spark).where("doc_id = 1"), {"v": F.lit(4)}))
     assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(1, 4)]
-    twice = spark.createDataFrame([("a", "zzz")], rollup.COMMITS)  # a second attempt that also got through
-    twice.write.mode("append").parquet(f"{store.path}/commits")
+
+
+@pytest.mark.parametrize("later", ["000", "zzz"])
+def test_the_first_of_two_commits_of_a_batch_counts(spark, later):
+    store = rollup.Store(spark, shared_path(spark, "counts")).create()
+    store.commit("a", rollup.measured(docs_of(spark).where("doc_id = 1"), {"v": F.lit(4)}))
+    lost = spark.createDataFrame([("a", later, "s", "l", "v", 5, 50)], rollup.DELTAS)
+    lost.write.mode("append").parquet(f"{store.path}/deltas")
+    assert not store._publish(f"commits/{0:012d}", {"number": 0, "batch": "a", "attempt": later})
+    assert store._publish(f"commits/{1:012d}", {"number": 1, "batch": "a", "attempt": later})
+    assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(1, 4)]
+
+
+def test_two_batches_at_once(spark, monkeypatch):
+    """Another driver commits between the entries and the commit of a batch."""
+    store = rollup.Store(spark, shared_path(spark, "counts")).create()
+    one = docs_of(spark).where("doc_id = 1")
+    other, write, tries = rollup.Store(spark, store.path), store._write, []
+
+    def interrupted(*given):
+        attempt = write(*given)
+        if not tries:
+            assert other.commit("b", rollup.measured(one, {"v": F.lit(7)}))
+        tries.append(attempt)
+        return attempt
+
+    monkeypatch.setattr(store, "_write", interrupted)
+    assert store.commit("a", rollup.measured(one, {"v": F.lit(4)})) and len(tries) == 2
     assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(1, 4)]
+    assert [r.batch for r in store.commits().orderBy("number").collect()] == ["b", "a"]
+
+
+def test_a_batch_reads_its_buckets_only(spark):
+    store = rollup.Store(spark, shared_path(spark, "counts"), buckets=16).create()
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("l").alias("lang"))
+    store.commit("a", rollup.measured(docs, {"v": F.lit(1)}))
+    mine = [r[0] for r in docs.where("doc_id < 3").select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(16))).distinct().collect()]
+    for bucket in set(range(16)) - set(mine):  # files that no reader can open
+        with open(f"{store.path}/ledger/bucket={bucket}/part-broken.parquet", "w") as file:
+            file.write("no table")
+    with pytest.raises(Exception, match="part-broken"):
+        store.current().count()
+    assert store.commit("b", rollup.removed(docs.where("doc_id < 3"))) and store.commit("c", rollup.removed(docs.limit(0)))
+    assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(397, 397)]
+
+
+def test_rollup_of_clashing_columns(spark):
+    store = rollup.Store(spark, shared_path(spark, "counts")).create()
+    odd = clashing(spark, "op", "version", "tokens", "batch", "attempt", "bucket").dropDuplicates(["doc_id"])
+    assert store.commit("d", rollup.measured(odd, {"w": F.lit(2)}))
+    assert store.totals().where("version = 'w'").agg(F.sum("docs")).first()[0] == 11
 
 
 # ---- quotes --------------------------------------------------------------------------------
