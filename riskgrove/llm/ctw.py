@@ -28,7 +28,13 @@ DEPTH = 5
 END = b"\n"
 BATCH_BYTES = 4 << 20
 
-#: Entries of counts that a task gathers before it hands them on.
+#: Bytes whose grams a task holds at once, whatever the length of a text.
+PIECE = 1 << 18
+
+#: The same where they are only counted: longer pieces leave fewer entries to sum.
+COUNTED = 1 << 20
+
+#: Entries of counts that a task gathers before it sums them.
 GATHERED = 2_000_000
 
 #: Leaves of the tree that one scoring pass broadcasts, about; the passes cover all leaves.
@@ -51,54 +57,77 @@ def _hashes(words: pa.Array) -> np.ndarray:
 END_HASH = int(np.uint64(xxhash.xxh64_intdigest(END)).view(np.int64))
 
 
-def grams(words: pa.Array, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The key (context bytes, then the byte) of every byte of every text, and where each text's
-    bytes begin. The context of a first byte is end bytes."""
+def grams(
+    words: pa.Array, starts: np.ndarray, depth: int, most: int = PIECE
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The key (context bytes, then the byte) of every byte of every text, in pieces of at most
+    ``most`` bytes: the first text of the piece, the keys, and where the bytes of each of its texts
+    begin (one more than texts). The context of a first byte is end bytes."""
     lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), words)
     tail = END.decode() * max(1, depth)
     stream = pc.binary_join_element_wise(pc.binary_join(lists, " "), tail, "")
     ends = np.frombuffer(stream.buffers()[1], np.int32)[: len(stream) + 1].astype(np.int64)
     data = np.frombuffer(stream.buffers()[2], np.uint8)[: ends[-1]]
     data = np.concatenate([np.full(depth, END[0], np.uint8), data])
-    keys = np.zeros(len(data) - depth, np.uint64)
-    for j in range(depth + 1):
-        np.left_shift(keys, np.uint64(8), out=keys)
-        np.bitwise_or(keys, data[j : j + len(keys)], out=keys, casting="unsafe")
-    sizes = np.diff(ends) - len(tail) + 1
-    coded = np.zeros(len(keys) + 1, np.int8)
-    np.add.at(coded, ends[:-1], 1)
-    np.add.at(coded, ends[:-1] + sizes, -1)
-    real = np.cumsum(coded[:-1], dtype=np.int8).astype(bool)
-    return keys[real], np.concatenate([[0], np.cumsum(sizes)])
+    begins, stops = ends[:-1], ends[1:] - len(tail) + 1
+    for low in range(0, int(ends[-1]), most):
+        high = min(low + most, int(ends[-1]))
+        first, last = np.searchsorted(stops, low, "right"), np.searchsorted(begins, high, "left")
+        if first == last:  # nothing but end bytes between two texts
+            continue
+        begin = np.maximum(begins[first:last], low) - low
+        stop = np.minimum(stops[first:last], high) - low
+        keys = np.zeros(high - low, np.uint64)
+        for j in range(depth + 1):
+            np.left_shift(keys, np.uint64(8), out=keys)
+            np.bitwise_or(keys, data[low + j : high + j], out=keys, casting="unsafe")
+        coded = np.zeros(high - low + 1, np.int8)
+        coded[begin] += 1
+        coded[stop] -= 1
+        real = np.cumsum(coded[:-1], dtype=np.int8).astype(bool)
+        yield int(first), keys[real], np.concatenate([[0], np.cumsum(stop - begin)])
+
+
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One entry for each key, with the sum of its counts."""
+    keys = np.concatenate([k for k, _ in found])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(np.concatenate([n for _, n in found])[order], first)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Counts of byte grams and of words, summed for a task as far as memory allows."""
     kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
+    entries = {GRAM: 0, WORD: 0}
+
+    def add(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept[kind].append((keys, n))
+        entries[kind] += len(keys)
+        if entries[kind] > GATHERED:
+            kept[kind] = [_summed(kept[kind])]
+            entries[kind] = len(kept[kind][0][0])
+            if entries[kind] > GATHERED // 2:
+                yield flush(kind)
 
     def flush(kind: int) -> pa.RecordBatch:
-        keys = np.concatenate([k for k, _ in kept[kind]])
-        values, place = np.unique(keys, return_inverse=True)
-        n = np.bincount(place, np.concatenate([c for _, c in kept[kind]])).astype(np.int64)
-        kept[kind] = []
+        keys, n = _summed(kept[kind]) if len(kept[kind]) > 1 else kept[kind][0]
+        kept[kind], entries[kind] = [], 0
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(values), kind, np.int32)), pa.array(values), pa.array(n)],
+            [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)],
             names=["kind", "key", "n"],
         )
 
     for batch in batches:
         for part in slices(batch, "text", BATCH_BYTES):
             words, starts = words_of(plain_strings(part.column("text")), byte_table())
-            keys, _ = grams(words, starts, depth)
-            values, n = np.unique(keys.view(np.int64), return_counts=True)
-            kept[GRAM].append((values, n))
+            for _, keys, _ in grams(words, starts, depth, COUNTED):
+                yield from add(GRAM, *np.unique(keys.view(np.int64), return_counts=True))
             coded = words.dictionary_encode()
             own = _hashes(coded.dictionary)
             n = np.bincount(coded.indices.to_numpy(), minlength=len(own))
-            kept[WORD].append((np.append(own, END_HASH), np.append(n, len(starts) - 1)))
-            for kind, found in kept.items():
-                if sum(len(k) for k, _ in found) > GATHERED:
-                    yield flush(kind)
+            yield from add(WORD, np.append(own, END_HASH), np.append(n, len(starts) - 1))
     for kind, found in kept.items():
         if found:
             yield flush(kind)
@@ -186,35 +215,42 @@ def _log10(logit: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def _leaf_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All deepest nodes of some contexts: the log probability of both bytes under seven bits."""
-    found = list(batches)
-    if not sum(b.num_rows for b in found):
-        return
-    table = pa.Table.from_batches(found)
-    nodes = table.column("node").to_numpy().view(np.uint64)
-    order = np.argsort(nodes)
-    nodes, logit = nodes[order], table.column("logit").to_numpy()[order].astype(float)
-    leaf = np.flatnonzero((nodes & np.uint64(128)) != 0)
-    context, low = nodes[leaf] & ~np.uint64(255), nodes[leaf] & np.uint64(127)
+    """All deepest nodes of some contexts, in their order: the log probability of both bytes under
+    seven bits. The last context of a batch waits for the next one."""
+    rest = np.zeros(0, np.int64), np.zeros(0, np.float32)
+    for batch in batches:
+        found = batch.column("node").to_numpy(), batch.column("logit").to_numpy()
+        nodes, logit = (np.concatenate(x) for x in zip(rest, found))
+        cut = int(np.searchsorted(nodes >> 8, nodes[-1] >> 8)) if len(nodes) else 0
+        yield _leaf_batch(nodes[:cut], logit[:cut])
+        rest = nodes[cut:], logit[cut:]
+    yield _leaf_batch(*rest)
+
+
+def _leaf_batch(nodes: np.ndarray, logit: np.ndarray) -> pa.RecordBatch:
+    logit = logit.astype(float)
+    leaf = np.flatnonzero((nodes & 128) != 0)
+    context, low = nodes[leaf] & ~255, nodes[leaf] & 127
     total = np.zeros(len(leaf))
     for k in range(7):
-        prefix = (low | np.uint64(128)) >> np.uint64(7 - k)
-        one = ((low >> np.uint64(6 - k)) & np.uint64(1)).astype(bool)
+        prefix = (low | 128) >> (7 - k)
+        one = ((low >> (6 - k)) & 1).astype(bool)
         total += _log10(logit[np.searchsorted(nodes, context | prefix)], one)
-    keys = (context >> np.uint64(1)) | low
+    keys = (context.view(np.uint64) >> np.uint64(1)).view(np.int64) | low
     zero = total + _log10(logit[leaf], np.zeros(len(leaf), bool))
     one = total + _log10(logit[leaf], np.ones(len(leaf), bool))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(keys.view(np.int64)), pa.array(zero.astype(np.float32)), pa.array(one.astype(np.float32))],
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys), pa.array(zero.astype(np.float32)), pa.array(one.astype(np.float32))],
         names=["leaf", "zero", "one"],
     )
 
 
 def leaves(nodes: DataFrame, depth: int) -> DataFrame:
     """Rows (leaf, zero, one): log10 probabilities of the two bytes under every deepest node with
-    seven bits; ``leaf`` is the context and the bits. A task holds the contexts dealt to it."""
+    seven bits; ``leaf`` is the context and the bits. A task reads the contexts dealt to it in
+    order, so it holds those of one batch."""
     deepest = nodes.where(F.col("depth") == depth).select("node", "logit")
-    dealt = deepest.repartition(F.shiftright("node", 8))
+    dealt = deepest.repartition(F.shiftright("node", 8)).sortWithinPartitions("node")
     return dealt.mapInArrow(_leaf_batches, "leaf long, zero float, one float")
 
 
@@ -228,13 +264,15 @@ class Leaves:
 
     def _build(self) -> None:
         size = 1 << self.bits
-        slots, waiting = np.full(size, -1, np.int32), np.arange(len(self.keys), dtype=np.int32)
-        at = self._slot(self.keys)
-        while len(waiting):
-            free = slots[at] < 0
-            slots[at[free]] = waiting[free]
-            rest = slots[at] != waiting
-            waiting, at = waiting[rest], (at[rest] + 1) & (size - 1)
+        slots = np.full(size, -1, np.int32)
+        for low in range(0, len(self.keys), PIECE):
+            at = self._slot(self.keys[low : low + PIECE])
+            waiting = np.arange(low, low + len(at), dtype=np.int32)
+            while len(waiting):
+                free = slots[at] < 0
+                slots[at[free]] = waiting[free]
+                rest = slots[at] != waiting
+                waiting, at = waiting[rest], (at[rest] + 1) & (size - 1)
         self.slots = slots
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -266,32 +304,33 @@ class Leaves:
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], block, depth: int) -> Iterator[pa.RecordBatch]:
-    """A row for each text with its sum over known grams, and one for each unknown gram in it."""
+    """A row for each piece of a text with its sum over known grams, and one for each unknown gram
+    in the piece."""
     table: Leaves = block.value
     for batch in batches:
         for part in slices(batch, "text", BATCH_BYTES):
             words, starts = words_of(plain_strings(part.column("text")), byte_table())
-            keys, begins = grams(words, starts, depth)
-            scores, missing = table.scores(keys)
-            row = np.searchsorted(begins, missing, "right") - 1
-            order = np.lexsort((keys[missing], row))
-            row, gram = row[order], keys[missing][order].view(np.int64)
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
-            times = np.diff(np.append(np.flatnonzero(new), len(row)))
             mark = part.column("mark").to_numpy()
-            texts = len(starts) - 1
-            row = np.concatenate([np.arange(texts), row[new]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("id").take(pa.array(row)),
-                    pa.array(mark[row]),
-                    pa.array(np.concatenate([mark, gram[new]])),
-                    pa.array(np.concatenate([np.zeros(texts, np.int64), times])),
-                    pa.array(np.concatenate([segment_sums(scores, begins), np.zeros(len(times))])),
-                ],
-                names=["id", "mark", "gram", "times", "score"],
-            )
+            for first, keys, begins in grams(words, starts, depth):
+                scores, missing = table.scores(keys)
+                row = np.searchsorted(begins, missing, "right") - 1
+                order = np.lexsort((keys[missing], row))
+                row, gram = row[order], keys[missing][order].view(np.int64)
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+                times = np.diff(np.append(np.flatnonzero(new), len(row)))
+                texts = len(begins) - 1
+                row = first + np.concatenate([np.arange(texts), row[new]])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id").take(pa.array(row)),
+                        pa.array(mark[row]),
+                        pa.array(np.concatenate([mark[first : first + texts], gram[new]])),
+                        pa.array(np.concatenate([np.zeros(texts, np.int64), times])),
+                        pa.array(np.concatenate([segment_sums(scores, begins), np.zeros(len(times))])),
+                    ],
+                    names=["id", "mark", "gram", "times", "score"],
+                )
 
 
 def backed_off(unknown: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:

@@ -4,10 +4,14 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +116,87 @@ def test_ctw_against_brute_force(spark, leaves, frequent):
         assert a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9) and a[6] == pytest.approx(b[6], rel=1e-5)
 
 
+def text_batch(*texts):
+    marks = pa.array(range(len(texts)), pa.int64())
+    return pa.RecordBatch.from_arrays([marks, marks, pa.array(texts, pa.string())], names=["id", "mark", "text"])
+
+
+def test_ctw_memory_of_a_task():
+    """Neither many texts nor a long one make a task hold more than a piece of grams."""
+    rng = np.random.default_rng(0)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (3_000, 6))]
+    texts = [" ".join(rng.choice(words, 6_000)) for _ in range(100)] + [" ".join(rng.choice(words, 600_000))]
+    keys = np.unique(rng.integers(0, 1 << 46, 200_000, dtype=np.uint64))
+    block = SimpleNamespace(value=ctw.Leaves(keys, np.zeros((len(keys), 2), np.float32), np.ones(1 << 16, bool)))
+    tracemalloc.start()
+    try:
+        times = 0
+        for batch in ctw._score_batches(iter([text_batch(*texts)]), block, 5):
+            times += int(batch.column("times").to_numpy().sum())
+        scored = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        n = sum(
+            int(batch.column("n").to_numpy()[batch.column("kind").to_numpy() == ctw.GRAM].sum())
+            for batch in ctw._count_batches(iter([text_batch(*texts)]), 5)
+        )
+        counted = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert times == n == sum(len(canonical(t)) for t in texts)
+    assert scored < 100e6 and counted < 200e6
+
+
+@pytest.mark.parametrize("most", [1, 5, 8, 1 << 20])
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_ctw_grams_in_pieces(depth, most):
+    texts = ["A b", "", "  long  text ŵ", None, "x"]
+    words, starts = ctw.words_of(ctw.plain_strings(pa.array(texts)), ctw.byte_table())
+    got = [[] for _ in texts]
+    for first, keys, begins in ctw.grams(words, starts, depth, most):
+        assert 0 < len(keys) <= most and begins[-1] == len(keys)
+        for i, (a, b) in enumerate(zip(begins, begins[1:])):
+            got[first + i] += keys[a:b].tolist()
+    for text, keys in zip(texts, got):
+        data = b"\n" * depth + canonical(text)
+        assert keys == [int.from_bytes(data[i : i + depth + 1], "big") for i in range(len(data) - depth)]
+
+
+def test_ctw_counts_summed_again_and_again(monkeypatch):
+    monkeypatch.setattr(ctw, "GATHERED", 40)
+    texts = ["ab ab ba", None, "the cat the dog", "zebra quagga okapi gnu"] * 5
+    batches = list(ctw._count_batches(iter([text_batch(t) for t in texts]), 2))
+    got, want = Counter(), Counter()
+    for batch in batches:
+        for kind, key, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "key", "n"))):
+            got[kind, key] += n
+    for text in texts:
+        data = b"\n\n" + canonical(text)
+        want.update((ctw.GRAM, int.from_bytes(data[i : i + 3], "big")) for i in range(len(data) - 2))
+        tokens = [*canonical(text).split(), b"\n"]
+        want.update((ctw.WORD, ctw._hashes(pa.array([t], pa.binary()))[0]) for t in tokens)
+    assert got == want and len(batches) > 2
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_ctw_leaves_of_cut_batches(rows):
+    """Contexts that lie across batches give the same leaves as in one batch."""
+    nodes = sorted(c << 8 | (b | 256) >> (8 - k) for c in range(9) for b in (3, 97, 200) for k in range(8))
+    nodes = np.unique(np.array(nodes, np.int64))
+    logit = np.linspace(-3, 3, len(nodes)).astype(np.float32)
+    table = pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(logit)], names=["node", "logit"])
+    cut = [table.slice(i, rows) for i in range(0, len(nodes), rows)]
+    got = pa.Table.from_batches(list(ctw._leaf_batches(iter(cut)))).to_pylist()
+    at = dict(zip(nodes.tolist(), logit.tolist()))
+    side = lambda x, one: -math.log10(1 + math.exp(-x if one else x))
+    assert [r["leaf"] for r in got] == [c << 7 | (b >> 1) for c in range(9) for b in (3, 97, 200)]
+    for r in got:
+        c, low = r["leaf"] >> 7, r["leaf"] & 127
+        first = sum(side(at[c << 8 | (low | 128) >> (7 - k)], low >> (6 - k) & 1) for k in range(7))
+        last = at[c << 8 | 128 | low]
+        assert r["zero"] == pytest.approx(first + side(last, 0), rel=1e-5)
+        assert r["one"] == pytest.approx(first + side(last, 1), rel=1e-5)
+
+
 def test_log_gamma(spark):
     xs = [0.5, 1.0, 1.5, 7.25, 1e3, 1e9]
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", ctw.log_gamma(F.col("x")).alias("y"))
